@@ -17,18 +17,19 @@ def mark_repeated(df: DataFrame, column: str, flag: str) -> DataFrame:
     a map-side combine, only repeated ones are kept, and rows look themselves up in that list by
     a left join. The list is as small as the data is clean, and nothing here forces a broadcast:
     Spark broadcasts it when its measured size is under the session's threshold, and else
-    sort-merges, where adaptive execution splits the partition of a hot value since the list has
-    one row per value.
+    sort-merges, where adaptive execution splits the partition of a hot value over many tasks.
+    It can do so only if both sides come straight out of a shuffle, which the hash as second join
+    key ensures: the counts are grouped by the value alone, so they are not yet partitioned by both.
 
     NULL rows find no partner, so they are spread by a hash of the whole row over all tasks.
     """
     value = ref(column)
     repeated = (
         df.where(value.isNotNull())
-        .groupBy(value.alias(_VALUE), F.xxhash64(value).alias(_HASH))
+        .groupBy(value.alias(_VALUE))
         .count()
         .where(F.col("count") > 1)
-        .select(_VALUE, _HASH)
+        .select(_VALUE, F.xxhash64(_VALUE).alias(_HASH))
     )
     whole_row = F.xxhash64(*[ref(f) for f in _hashable(df)])
     spread = F.when(value.isNotNull(), F.xxhash64(value)).otherwise(whole_row)
