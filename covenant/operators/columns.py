@@ -19,6 +19,18 @@ def case_key(df: DataFrame):
     return (lambda name: name) if sensitive else str.lower
 
 
+def where_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on columns that are costly to compute, computing each once.
+
+    Spark moves a filter below the projection that computes its columns and so computes them
+    twice, in the filter and in the projection. A column that depends on the task keeps the two
+    in order.
+    """
+    task = "__task"
+    kept = df.withColumn(task, F.spark_partition_id()).where((F.col(task) >= 0) & condition)
+    return kept.drop(task)
+
+
 def any_of(conditions: Iterable[Column]) -> Column:
     out = F.lit(False)
     for i, condition in enumerate(conditions):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from covenant.contract import FLAGS, Contract
-from covenant.operators.columns import all_of
+from covenant.operators.columns import all_of, where_computed
 from covenant.operators.required import MISSING, NULL_KEY
 from covenant.operators.rules import soft_flags
 
@@ -43,11 +43,18 @@ def _observed(df: DataFrame, expectations: Mapping[str, str], into: Observation
 
 
 def expect_or_drop(
-    df: DataFrame, expectations: Mapping[str, str], into: Observation | None = None
+    df: DataFrame,
+    expectations: Mapping[str, str],
+    into: Observation | None = None,
+    computed: bool = False,
 ) -> DataFrame:
-    """Rows that meet every expectation; ``into`` counts the rows and the failures of each."""
+    """Rows that meet every expectation; ``into`` counts the rows and the failures of each.
+
+    Say ``computed`` when the expectations look at columns that are costly to compute.
+    """
     watched = _observed(df, expectations, into)
-    return watched.where(all_of(F.expr(sql) for sql in expectations.values()))
+    met = all_of(F.expr(sql) for sql in expectations.values())
+    return where_computed(watched, met) if computed else watched.where(met)
 
 
 def expect_warn(

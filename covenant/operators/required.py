@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covenant.contract import FLAGS, REASON, Contract
-from covenant.operators.columns import all_of, any_of, ref
+from covenant.operators.columns import all_of, any_of, ref, where_computed
 
 # Reason codes.
 NULL_KEY = "null_primary_key"
@@ -31,13 +31,25 @@ def missing_reason(contract: Contract) -> Column:
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
+def computes_required(contract: Contract) -> bool:
+    """Whether a required value comes out of a transform."""
+    return any(c.transform for c in contract.columns if c.name in contract.required)
+
+
 def complete_rows(typed: DataFrame, contract: Contract) -> DataFrame:
-    """Rows that have every required value. Plain null tests, so they can reach the scan."""
-    return typed.where(all_of(ref(c).isNotNull() for c in contract.required))
+    """Rows that have every required value.
+
+    The plain null tests reach the scan, unless a required value has to be computed first.
+    """
+    present = all_of(ref(c).isNotNull() for c in contract.required)
+    return where_computed(typed, present) if computes_required(contract) else typed.where(present)
 
 
 def incomplete_rows(typed: DataFrame, contract: Contract) -> DataFrame:
-    """Rows that lack a required value, with the reason and no flags."""
+    """Rows that lack a required value, with the reason and no flags.
+
+    The filter may go below the projection here: only the few rejected rows are computed again.
+    """
     lacking = typed.where(any_of(ref(c).isNull() for c in contract.required))
     return lacking.withColumns({REASON: missing_reason(contract), FLAGS: no_flags()})
 

@@ -20,6 +20,7 @@ from covenant.operators.expectations import (
     hard_expectations,
     soft_expectations,
 )
+from covenant.operators.required import computes_required
 from covenant.operators.typing import conform
 from covenant.plans.batch import split
 from covenant.sources import read_source
@@ -28,7 +29,8 @@ from covenant.sources import read_source
 def typed_rows(
     bronze: DataFrame, contract: Contract, into: Observation | None = None
 ) -> DataFrame:
-    return expect_or_drop(conform(bronze, contract), hard_expectations(contract), into)
+    typed, computed = conform(bronze, contract), computes_required(contract)
+    return expect_or_drop(typed, hard_expectations(contract), into, computed)
 
 
 def valid_rows(typed: DataFrame, contract: Contract, into: Observation | None = None) -> DataFrame:
@@ -87,7 +89,7 @@ def _define(spark: SparkSession, contract: Contract, pipelines: Any) -> None:
     @_expecting(pipelines, "expect_all_or_drop", hard)
     def typed() -> DataFrame:
         rows = conform(spark.read.table(f"{name}_bronze"), contract)
-        return rows if drops_itself else expect_or_drop(rows, hard)
+        return rows if drops_itself else expect_or_drop(rows, hard, None, computes_required(contract))
 
     @pipelines.materialized_view(
         name=name, comment=contract.description, partition_cols=list(contract.partition_by) or None

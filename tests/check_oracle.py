@@ -24,6 +24,9 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+_KINDS = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
+
+
 def _plain(value: object) -> object:
     return "NaN" if isinstance(value, float) and math.isnan(value) else value
 
@@ -36,10 +39,14 @@ def difference(spark: SparkSession, con: duckdb.DuckDBPyConnection, sf_dir: str,
     their_columns = [d[0] for d in theirs.description]
     if sorted(their_columns) != columns:
         return f"columns {columns} against {sorted(their_columns)}"
+    kinds = {d[0]: _KINDS.get(str(d[1]), str(d[1])) for d in theirs.description}
+    ours_kinds = {f.name: f.dataType.simpleString() for f in ours.schema.fields}
+    if kinds != ours_kinds:
+        return f"types {ours_kinds} against {kinds}"
     order = [their_columns.index(c) for c in columns]
     right = sorted((tuple(_plain(r[i]) for i in order) for r in theirs.fetchall()), key=repr)
     left = sorted((tuple(map(_plain, r)) for r in ours.select(*columns).collect()), key=repr)
-    if left == right:
+    if left == right and left:
         return ""
     shown = [(a, b) for a, b in zip(left, right, strict=False) if a != b][:3]
     return f"{len(left)} rows against {len(right)}; columns {columns}; first differences {shown}"
