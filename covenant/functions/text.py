@@ -6,14 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Code points of white space as Unicode defines it, plus the ASCII separators 1C-1F.
-WHITE_SPACE = "".join(
-    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)])
-) + "".join(map(chr, [0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-_SPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
-    "           "
-    "    　"
-)
+_SPACES = [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)]
+_SPACES += [0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+WHITE_SPACE = "".join(map(chr, _SPACES))
 _SPACE = r"\s\x1c-\x1f"
 # Fixed value: local part, one @, and a domain that contains a dot.
 _EMAIL = rf"(?U)^[^@{_SPACE}]+@[^@{_SPACE}]+\.[^@{_SPACE}]+$"

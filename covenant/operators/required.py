@@ -48,9 +48,11 @@ def complete_rows(typed: DataFrame, contract: Contract) -> DataFrame:
 def incomplete_rows(typed: DataFrame, contract: Contract) -> DataFrame:
     """Rows that lack a required value, with the reason and no flags.
 
-    The filter may go below the projection here: only the few rejected rows are computed again.
+    Over columnar files whose required columns need no transform, the null tests reach the scan
+    and skip every row group that has no NULL.
     """
-    lacking = typed.where(any_of(ref(c).isNull() for c in contract.required))
+    absent = any_of(ref(c).isNull() for c in contract.required)
+    lacking = where_computed(typed, absent) if computes_required(contract) else typed.where(absent)
     return lacking.withColumns({REASON: missing_reason(contract), FLAGS: no_flags()})
 
 

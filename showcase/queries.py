@@ -176,7 +176,7 @@ def scan_table_conform(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _written(spark: SparkSession, sf_dir: str, name: str) -> tuple[Contract, str]:
-    declared = orders_contract(amount="quarantine")
+    declared = orders_contract(amount="quarantine", partition_by=["method"])
     path = _folder(spark, name)
     write_outcome(apply_contract(raw_orders(spark, sf_dir), declared), declared, path)
     return declared, path
@@ -203,7 +203,7 @@ def quality_report_lazy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def job_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    declared = customers_contract(balance="quarantine")
+    declared = customers_contract(balance="quarantine", partition_by=[])
     raw = raw_customers(spark, sf_dir)
     return report_frame(spark, publish(spark, declared, _folder(spark, "job"), source=raw))
 
@@ -441,7 +441,7 @@ def hard_expectation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def expect_or_drop_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     declared = orders_contract()
     typed = conform(raw_orders(spark, sf_dir), declared)
-    return as_text(expect_or_drop(typed, hard_expectations(declared)))
+    return as_text(expect_or_drop(typed, hard_expectations(declared), computed=True))
 
 
 @query

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+import time
 from pathlib import Path
 
 import duckdb
@@ -65,9 +66,10 @@ def main() -> None:
     con = connect(sf_dir)
     bad = 0
     for name in names:
+        start = time.perf_counter()
         found = difference(spark, con, sf_dir, name)
         bad += bool(found)
-        print(f"{'FAIL' if found else 'ok  '} {name} {found[:1500]}", flush=True)
+        print(f"{'FAIL' if found else 'ok  '} {time.perf_counter() - start:6.2f}s {name} {found[:1500]}", flush=True)
     print(f"{len(names) - bad} of {len(names)} match")
     spark.stop()
 
