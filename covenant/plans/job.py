@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from covenant.contract import Contract
 from covenant.plans.batch import apply_contract
-from covenant.sinks.report import observed, report_frame, report_rows
+from covenant.sinks.report import RunCounters, report_frame
 from covenant.sinks.staging import shared_stage
 from covenant.sinks.writers import write_outcome
 from covenant.sources import read_source
@@ -51,9 +51,10 @@ def publish(
     """
     raw = read_source(spark, contract) if source is None else source
     stage = shared_stage(spark, contract.name, target)
-    outcome, valid, quarantine = observed(apply_contract(raw, contract, stage), contract)
-    where = write_outcome(outcome, contract, target, fmt)
-    rows = report_rows(contract.name, valid, quarantine)
+    counters = RunCounters(contract)
+    outcome = apply_contract(raw, contract, stage)
+    where = write_outcome(outcome, contract, target, fmt, counters=counters)
+    rows = counters.rows()
     counts = {metric: n for _, metric, n in rows}
     print(f"[{contract.name}] valid={counts['valid']} quarantine={counts['quarantine']} -> {where}")
     return rows

@@ -21,7 +21,11 @@ def _count(condition: Column, name: str) -> Column:
 
 
 def valid_metrics(contract: Contract) -> list[Column]:
-    flags = [_count(F.array_contains(FLAGS, flag), flag) for flag, policy in soft_flags(contract) if policy != "quarantine"]
+    flags = [
+        _count(F.array_contains(FLAGS, flag), flag)
+        for flag, policy in soft_flags(contract)
+        if policy != "quarantine"
+    ]
     return [F.count(F.lit(1)).alias("valid"), *flags]
 
 
@@ -31,23 +35,30 @@ def quarantine_metrics(contract: Contract) -> list[Column]:
     return [F.count(F.lit(1)).alias("quarantine"), *counted]
 
 
-def observed(outcome: Outcome, contract: Contract) -> tuple[Outcome, Observation, Observation]:
-    """The outcome with counters attached; they fill when each table is written.
+class RunCounters:
+    """Counters of one run; they fill while the two tables are written.
 
-    The counters sit on top of the plans, in the tasks that write, where Spark counts every
+    Attached on top of the final plans they sit in the tasks that write, where Spark counts every
     partition once even if tasks are retried.
     """
-    valid, quarantine = Observation(), Observation()
-    watched = replace(
-        outcome,
-        valid=outcome.valid.observe(valid, *valid_metrics(contract)),
-        quarantine=outcome.quarantine.observe(quarantine, *quarantine_metrics(contract)),
-    )
-    return watched, valid, quarantine
 
-
-def report_rows(name: str, *observations: Observation) -> list[tuple[str, str, int]]:
-    return [(name, metric, n) for o in observations for metric, n in o.get.items()]
+    def __init__(self, contract: Contract) -> None:
+        self.contract = contract
+        self._valid, self._quarantine = Observation(), Observation()
+
+    def attach(self, outcome: Outcome) -> Outcome:
+        return replace(
+            outcome,
+            valid=outcome.valid.observe(self._valid, *valid_metrics(self.contract)),
+            quarantine=outcome.quarantine.observe(
+                self._quarantine, *quarantine_metrics(self.contract)
+            ),
+        )
+
+    def rows(self) -> list[tuple[str, str, int]]:
+        """(table, metric, n), once both tables are written."""
+        counted = {**self._valid.get, **self._quarantine.get}
+        return [(self.contract.name, metric, n) for metric, n in counted.items()]
 
 
 def report_frame(spark: SparkSession, rows: Iterable[tuple[str, str, int]]) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, DataFrameWriter
 
 from covenant.contract import Contract
 from covenant.operators.columns import ref
 from covenant.plans.batch import Outcome
+from covenant.sinks.report import RunCounters
 
 QUARANTINE_SUFFIX = "_quarantine"
 
@@ -17,16 +20,17 @@ def is_table_target(target: str) -> bool:
 
 
 def even_files(df: DataFrame, partition_by: tuple[str, ...]) -> DataFrame:
-    """Gather the rows of an output partition before a partitioned write.
+    """Gather rows into files of a reasonable size, by output partition if there is one.
 
-    Without it every task writes a file for every partition it meets. Adaptive execution splits
-    an output partition that is too large over several tasks, so a hot date is not one task.
+    Without it every task writes a file for every partition it meets, and the few rejected rows
+    of each scan task become a file of their own. Adaptive execution splits what is too large
+    over several tasks, so a hot date is not one task.
     """
-    return df.hint("rebalance", *[ref(p) for p in partition_by]) if partition_by else df
+    return df.hint("rebalance", *[ref(p) for p in partition_by])
 
 
 def _writer(df: DataFrame, fmt: str, partition_by: tuple[str, ...]) -> DataFrameWriter:
-    writer = even_files(df, partition_by).write.mode("overwrite").format(fmt)
+    writer = df.write.mode("overwrite").format(fmt)
     return writer.partitionBy(*partition_by) if partition_by else writer
 
 
@@ -36,17 +40,24 @@ def write_outcome(
     target: str,
     fmt: str = "parquet",
     as_table: bool | None = None,
+    counters: RunCounters | None = None,
 ) -> str:
     """Overwrite both result tables and say where they went.
 
     A target like ``catalog.schema`` takes managed tables, anything else is a folder;
     ``as_table`` settles the matter where the name misleads. Only the valid table is partitioned.
+    An unpartitioned valid table is written as its last stage left it. ``counters`` take the
+    row and rule counts on the way.
     """
     as_table = is_table_target(target) if as_table is None else as_table
-    results = (
-        ("", outcome.valid, contract.partition_by),
-        (QUARANTINE_SUFFIX, outcome.quarantine, ()),
+    by = contract.partition_by
+    outcome = replace(
+        outcome,
+        valid=even_files(outcome.valid, by) if by else outcome.valid,
+        quarantine=even_files(outcome.quarantine, ()),
     )
+    outcome = counters.attach(outcome) if counters else outcome
+    results = (("", outcome.valid, by), (QUARANTINE_SUFFIX, outcome.quarantine, ()))
     if as_table:
         session = outcome.valid.sparkSession
         session.sql(f"CREATE SCHEMA IF NOT EXISTS {target}")

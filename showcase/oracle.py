@@ -335,7 +335,7 @@ ORACLE: dict[str, str] = {
     "scan_table_conform": _FRAUD_REJECTED,
     "sink_partitioned_roundtrip": _orders_valid("quarantine"),
     "sink_quarantine_roundtrip": _orders_quarantine("quarantine"),
-    "quality_report_lazy": _CUSTOMER_REPORT,
+    "quality_report": _CUSTOMER_REPORT,
     "job_report": _CUSTOMER_REPORT,
     "schema_completion": _with(
         _ORDER_STEPS,
@@ -355,7 +355,7 @@ ORACLE: dict[str, str] = {
         CAST(o_custkey AS DOUBLE) AS o_custkey FROM orders""",
     "derive_date": f"""SELECT o_orderkey, {_ts_text("o_orderdate")} AS o_orderdate,
         {_day_text("CAST(o_orderdate AS DATE)")} AS day, '' AS _dq_flags FROM orders""",
-    "clean_numeric_text": _with(
+    "clean_numeric": _with(
         {}, f"SELECT order_id, {_clean_numeric('amount_txt')} AS amount {_RAW}"
     ),
     "parse_timestamp_multi": _with(
@@ -364,7 +364,7 @@ ORACLE: dict[str, str] = {
     "normalize_id": _with(
         {}, f"SELECT cust_name, doc_txt, {_normalize_cpf('doc_txt')} AS doc FROM raw_customers"
     ),
-    "normalize_score_text": _with({}, f"SELECT order_id, {_score('score_txt')} AS score {_RAW}"),
+    "normalize_score": _with({}, f"SELECT order_id, {_score('score_txt')} AS score {_RAW}"),
     "valid_document": _with(
         {}, f"SELECT cust_name, doc_txt, {_validate_cpf('doc_txt')} AS ok FROM raw_customers"
     ),
@@ -436,7 +436,7 @@ ORACLE: dict[str, str] = {
         f"""SELECT {_AS_RAW}, {_CUSTOMER_SOFT} AS _quarantine_reason, '' AS _dq_flags
         FROM judged WHERE {_CUSTOMER_SOFT} IS NOT NULL""",
     ),
-    "hard_expectation_counts": _with(
+    "hard_expectations": _with(
         _ORDER_STEPS,
         _expected(
             [
@@ -448,8 +448,8 @@ ORACLE: dict[str, str] = {
             "typed",
         ),
     ),
-    "expect_or_drop_rows": _with(_ORDER_STEPS, f"SELECT {_TYPED_TEXT} FROM complete"),
-    "soft_expectation_counts": _with(
+    "expect_or_drop": _with(_ORDER_STEPS, f"SELECT {_TYPED_TEXT} FROM complete"),
+    "soft_expectations": _with(
         _CUSTOMER_STEPS,
         _expected([(flag.replace(":", "_"), f"NOT {hit}") for hit, flag in _RAISED], "judged"),
     ),

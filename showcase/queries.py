@@ -49,7 +49,8 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(run: Query) -> Query:
-    QUERIES[run.__name__] = run
+    """Register a query under its function's name, less a suffix that keeps it off library names."""
+    QUERIES[run.__name__.removesuffix("_query")] = run
     return run
 
 
@@ -195,7 +196,7 @@ def sink_quarantine_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def quality_report_lazy(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quality_report_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     declared = customers_contract(balance="quarantine")
     outcome = apply_contract(raw_customers(spark, sf_dir), declared)
     return quality_report(outcome, declared)
@@ -260,7 +261,7 @@ def derive_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def clean_numeric_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clean_numeric_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = raw_orders(spark, sf_dir)
     return raw.select("order_id", clean_numeric(F.col("amount_txt")).alias("amount"))
 
@@ -278,7 +279,7 @@ def normalize_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def normalize_score_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+def normalize_score_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = raw_orders(spark, sf_dir)
     return raw.select("order_id", normalize_score(F.col("score_txt"), SCORES).alias("score"))
 
@@ -431,21 +432,21 @@ def soft_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def hard_expectation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hard_expectations_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     declared = orders_contract()
     typed = conform(raw_orders(spark, sf_dir), declared)
     return expectation_counts(typed, hard_expectations(declared))
 
 
 @query
-def expect_or_drop_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def expect_or_drop_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     declared = orders_contract()
     typed = conform(raw_orders(spark, sf_dir), declared)
     return as_text(expect_or_drop(typed, hard_expectations(declared), computed=True))
 
 
 @query
-def soft_expectation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def soft_expectations_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     declared = customers_contract()
     valid = apply_contract(raw_customers(spark, sf_dir), declared).valid
     return expectation_counts(valid, soft_expectations(declared))
