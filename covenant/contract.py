@@ -142,12 +142,15 @@ class Contract:
 
     @classmethod
     def from_yaml(cls, path: str | Path) -> Contract:
-        with open(path, encoding="utf-8") as handle:
-            raw = yaml.safe_load(handle)
+        return cls.from_text(Path(path).read_text(encoding="utf-8"), str(path))
+
+    @classmethod
+    def from_text(cls, text: str, origin: str = "contract") -> Contract:
+        """A contract from YAML text; ``origin`` names it in messages."""
         try:
-            return cls.from_dict(raw)
-        except ContractError as error:
-            raise ContractError(f"{path}: {error}") from None
+            return cls.from_dict(yaml.safe_load(text))
+        except (ContractError, yaml.YAMLError) as error:
+            raise ContractError(f"{origin}: {error}") from None
 
     @property
     def required(self) -> list[str]:

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import argparse
 import glob
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from importlib.resources import files
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,21 +21,56 @@ from covenant.sinks.staging import shared_stage
 from covenant.sinks.writers import write_outcome
 from covenant.sources import read_source
 
+# Bytes of input per shuffle partition, and a bound on the blocks a shuffle has to track.
+PARTITION_BYTES = 128 * 1024 * 1024
+MOST_PARTITIONS = 40_000
+# Estimates from here on mean that Spark knows nothing about the input.
+UNKNOWN_BYTES = 2**60
 UTC = ("spark.sql.session.timeZone", "UTC")
 
 
-def bundled_contracts() -> list[str]:
-    """Paths of the contracts shipped with the package, sorted."""
+def bundled_contracts() -> list[Contract]:
+    """The contracts shipped with the package, by file name; the package may be a zip file."""
     folder = files("covenant") / "contracts"
-    return sorted(str(entry) for entry in folder.iterdir() if entry.name.endswith(".yaml"))
+    found = sorted((e for e in folder.iterdir() if e.name.endswith(".yaml")), key=lambda e: e.name)
+    return [Contract.from_text(e.read_text(encoding="utf-8"), e.name) for e in found]
 
 
 def load_contracts(pattern: str | None = None) -> list[Contract]:
     """Contracts that match a glob pattern, or the bundled ones."""
-    paths = sorted(glob.glob(pattern)) if pattern else bundled_contracts()
-    if not paths:
+    if pattern:
+        found = [Contract.from_yaml(path) for path in sorted(glob.glob(pattern))]
+    else:
+        found = bundled_contracts()
+    if not found:
         raise SystemExit("no contract found")
-    return [Contract.from_yaml(path) for path in paths]
+    return found
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of a table's size, which for files is what they hold."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+@contextmanager
+def roomy_shuffles(spark: SparkSession, raw: DataFrame) -> Iterator[None]:
+    """Start shuffles with enough partitions for the input.
+
+    The session's default number suits small tables. Adaptive execution merges partitions that
+    turn out small, so starting high costs little; a number the user has set is left alone.
+    """
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = input_bytes(raw)
+    wanted = min(-(-size // PARTITION_BYTES), MOST_PARTITIONS)
+    if spark.conf.get(key, None) is not None or wanted <= usual or size >= UNKNOWN_BYTES:
+        yield
+        return
+    spark.conf.set(key, str(wanted))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
 
 
 def publish(
@@ -52,8 +88,9 @@ def publish(
     raw = read_source(spark, contract) if source is None else source
     stage = shared_stage(spark, contract.name, target)
     counters = RunCounters(contract)
-    outcome = apply_contract(raw, contract, stage)
-    where = write_outcome(outcome, contract, target, fmt, counters=counters)
+    with roomy_shuffles(spark, raw):
+        outcome = apply_contract(raw, contract, stage)
+        where = write_outcome(outcome, contract, target, fmt, counters=counters)
     rows = counters.rows()
     counts = {metric: n for _, metric, n in rows}
     print(f"[{contract.name}] valid={counts['valid']} quarantine={counts['quarantine']} -> {where}")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import zlib
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,13 +20,15 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a session that names none, as in local tests, gets a temporary folder of its own.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="covenant-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
     return folder.rstrip("/")
 
 
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="covenant-")
+
+
 def shared_stage(spark: SparkSession, name: str, target: str) -> Callable[[DataFrame], DataFrame]:
     """A stage that stores judged rows as Parquet in the shared folder and reads them back.
 

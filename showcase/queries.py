@@ -78,9 +78,7 @@ def conform_fraud_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bundled(name: str) -> Contract:
-    return next(
-        c for c in map(Contract.from_yaml, bundled_contracts()) if c.name == f"{name}_silver"
-    )
+    return next(c for c in bundled_contracts() if c.name == f"{name}_silver")
 
 
 def _as_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import copy
+import os
+import subprocess
+import sys
+import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import covenant
 from covenant import Contract, ContractError, apply_contract
 from covenant.contract import spark_type
 from covenant.functions import TRANSFORM_BUILDERS, register_transform
@@ -137,6 +143,19 @@ def test_yaml_errors_name_the_file(tmp_path):
         Contract.from_yaml(path)
 
 
+def test_contracts_inside_a_zip_file_load(tmp_path):
+    package = Path(covenant.__file__).parent
+    archive = tmp_path / "covenant.zip"
+    with zipfile.ZipFile(archive, "w") as zipped:
+        for path in package.rglob("*"):
+            if path.suffix in (".py", ".yaml"):
+                zipped.write(path, path.relative_to(package.parent))
+    code = "from covenant.plans.job import load_contracts; print(len(load_contracts()))"
+    env = {**os.environ, "PYTHONPATH": str(archive)}
+    done = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip() == "3", done.stderr
+
+
 def test_source_moves_to_another_folder():
     contract = Contract.from_dict(GOOD)
     assert contract.reading_from("/vol/raw/").source.path == "/vol/raw/t.json"

@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 from datetime import date
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 
 from covenant import apply_contract
 from covenant.contract import FLAGS, REASON
+from covenant.plans import job
 from covenant.plans.job import publish
 from covenant.sinks import is_table_target, shared_folder, shared_stage, write_outcome
 from covenant.sinks.report import quality_report
@@ -112,6 +114,32 @@ def test_scattered_rejects_share_a_file(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "sample_quarantine")).count() == 40
 
 
+def test_shuffles_start_with_room_for_the_input(spark, monkeypatch):
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    df = spark.range(10)
+    for size, expected in ((1000, None), (10 * 2**30, "80"), (100 * 2**40, "40000"), (2**63, None)):
+        monkeypatch.setattr(job, "input_bytes", lambda _, size=size: size)
+        with job.roomy_shuffles(spark, df):
+            assert spark.conf.get(key, None) == expected
+        assert spark.conf.get(key, None) is None
+    spark.conf.set(key, "7")
+    with job.roomy_shuffles(spark, df):
+        assert spark.conf.get(key) == "7"
+    spark.conf.unset(key)
+
+
+def test_input_size_is_known_before_the_run(spark, tmp_path):
+    spark.range(100000).write.parquet(str(tmp_path / "p"))
+    assert 1000 < job.input_bytes(spark.read.parquet(str(tmp_path / "p"))) < 2**21
+
+
+def test_own_folder_only_where_none_is_named(spark):
+    named = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: "hdfs://shared/x/"))
+    unnamed = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default))
+    assert shared_folder(named) == "hdfs://shared/x"
+    assert shared_folder(unnamed) == shared_folder(unnamed)
+
+
 def test_judged_rows_are_staged_once_in_the_shared_folder(spark, small):
     contract, df = small
     plain = apply_contract(df, contract)
