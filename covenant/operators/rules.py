@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from covenant.contract import FLAGS, REASON, ColumnSpec, Contract
 from covenant.functions import check_digits_ok, is_valid_email, only_digits
-from covenant.operators.columns import all_of, any_of, ref
+from covenant.operators.columns import any_of, ref
 from covenant.operators.uniqueness import mark_repeated
 
 # Reason prefix and check names, in the order the checks of a column run.
@@ -132,10 +132,9 @@ def _check_rows(df: DataFrame, checks: list[Check]) -> DataFrame:
         earlier: list[Column] = []
         for check in group:
             failed = check.failed()
-            if check.policy == "nullify" and earlier:
-                failed = all_of(~e for e in earlier) & failed
-            out[f"__hit_{check.flag}"] = failed
-            earlier.append(check.failed())
+            first = check.policy != "nullify" or not earlier
+            out[f"__hit_{check.flag}"] = failed if first else ~any_of(earlier) & failed
+            earlier.append(failed)
         if group[0].policy == "nullify":
             out[name] = F.when(~any_of(earlier), ref(name))
     return prepared.withColumns(out).drop(*digits) if out else prepared

@@ -21,6 +21,9 @@ from covenant.sinks.staging import shared_stage
 from covenant.sinks.writers import write_outcome
 from covenant.sources import read_source
 
+PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+HASH_JOIN = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+HASH_JOIN_BYTES = "64MB"
 # Bytes of input per shuffle partition, and a bound on the blocks a shuffle has to track.
 PARTITION_BYTES = 128 * 1024 * 1024
 MOST_PARTITIONS = 40_000
@@ -53,24 +56,27 @@ def input_bytes(df: DataFrame) -> int:
 
 
 @contextmanager
-def roomy_shuffles(spark: SparkSession, raw: DataFrame) -> Iterator[None]:
-    """Start shuffles with enough partitions for the input.
+def tuned(spark: SparkSession, raw: DataFrame) -> Iterator[None]:
+    """Session settings for one run; what the user has set is left alone.
 
-    The session's default number suits small tables. Adaptive execution merges partitions that
-    turn out small, so starting high costs little; a number the user has set is left alone.
+    Shuffles start with enough partitions for the input, since the session's default number suits
+    small tables; adaptive execution merges partitions that turn out small. And a sort-merge join
+    becomes a hash join where every measured partition of its smaller side is small, so the rows
+    that look up repeated values need not be sorted.
     """
-    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = input_bytes(raw)
-    wanted = min(-(-size // PARTITION_BYTES), MOST_PARTITIONS)
-    if spark.conf.get(key, None) is not None or wanted <= usual or size >= UNKNOWN_BYTES:
-        yield
-        return
-    spark.conf.set(key, str(wanted))
+    usual, size = int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(raw)
+    wanted = {HASH_JOIN: HASH_JOIN_BYTES}
+    partitions = min(-(-size // PARTITION_BYTES), MOST_PARTITIONS)
+    if usual < partitions and size < UNKNOWN_BYTES:
+        wanted[PARTITIONS] = str(partitions)
+    ours = {key: value for key, value in wanted.items() if spark.conf.get(key, None) is None}
+    for key, value in ours.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key)
+        for key in ours:
+            spark.conf.unset(key)
 
 
 def publish(
@@ -88,7 +94,7 @@ def publish(
     raw = read_source(spark, contract) if source is None else source
     stage = shared_stage(spark, contract.name, target)
     counters = RunCounters(contract)
-    with roomy_shuffles(spark, raw):
+    with tuned(spark, raw):
         outcome = apply_contract(raw, contract, stage)
         where = write_outcome(outcome, contract, target, fmt, counters=counters)
     rows = counters.rows()

@@ -114,6 +114,18 @@ def test_hot_values_are_split_by_the_skew_join(spark, settings):
     assert "SortMergeJoin(skew=true)" in final_plan(valid)
 
 
+def test_the_lookup_is_a_hash_join_where_partitions_are_small(spark, settings):
+    settings(
+        autoBroadcastJoinThreshold="-1",
+        adaptive__maxShuffledHashJoinLocalMapThreshold="64MB",
+        adaptive__skewJoin__skewedPartitionThresholdInBytes="2k",
+        adaptive__skewJoin__skewedPartitionFactor="1.5",
+        adaptive__advisoryPartitionSizeInBytes="4k",
+        adaptive__coalescePartitions__enabled="false",
+    )
+    assert "ShuffledHashJoin(skew=true)" in final_plan(unique_after_dedup(spark))
+
+
 def test_a_small_list_of_repeated_values_is_broadcast_by_size(spark):
     assert "BroadcastHashJoin" in final_plan(unique_after_dedup(spark))
 

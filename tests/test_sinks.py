@@ -115,15 +115,17 @@ def test_scattered_rejects_share_a_file(spark, tmp_path):
 
 
 def test_shuffles_start_with_room_for_the_input(spark, monkeypatch):
-    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    key = job.PARTITIONS
     df = spark.range(10)
     for size, expected in ((1000, None), (10 * 2**30, "80"), (100 * 2**40, "40000"), (2**63, None)):
         monkeypatch.setattr(job, "input_bytes", lambda _, size=size: size)
-        with job.roomy_shuffles(spark, df):
+        with job.tuned(spark, df):
             assert spark.conf.get(key, None) == expected
+            assert spark.conf.get(job.HASH_JOIN) == "64MB"
         assert spark.conf.get(key, None) is None
+        assert spark.conf.get(job.HASH_JOIN, None) is None
     spark.conf.set(key, "7")
-    with job.roomy_shuffles(spark, df):
+    with job.tuned(spark, df):
         assert spark.conf.get(key) == "7"
     spark.conf.unset(key)
 
