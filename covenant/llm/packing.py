@@ -1,7 +1,7 @@
 """Packing of tokenised documents into sequences: first-fit decreasing over a tournament tree of bin capacities.
 
 A document's ids are cut into pieces of CAPACITY and a rest. Pieces are dealt to groups at random, by a hash of document
-and place, so that a group comes from about GROUP_CHARS whatever the documents are; each group is packed alone. Within it
+and place, so that a group comes from about GROUP_BYTES whatever the documents are; each group is packed alone. Within it
 pieces go, longest first, into the first bin with room, which a binary tournament over the bins' free room finds in
 log2(bins) steps. Only lengths are shuffled unless the ids are asked for.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 CAPACITY = 4096
 END_ID = 2
 #: About four million tokens, a thousand sequences.
-GROUP_CHARS = 10_000_000
+GROUP_BYTES = 10_000_000
 #: Groups come from about so many documents at most, where these are very short.
 GROUP_DOCS = 50_000
 #: Different words whose ids a task remembers, and the longest word it remembers.
@@ -40,39 +40,32 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder:
-    """The tokenizer, which merges within words only, with a memory of the words that it has merged."""
+class Remembered(dict):
+    """The ids of each word of a tokenizer that merges within words only, from its model; short words are kept."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         # the alphabet of byte-level models: printable bytes stand for themselves, the others for 256 and on, in order
         plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         self.table = {byte: 256 + i for i, byte in enumerate(b for b in range(256) if b not in plain)}
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, as encoding it whole would give."""
-        split = [None if _OTHER.search(text) else _SPLIT.findall(text.lower()) for text in texts]
-        if len(self.known) > _REMEMBERED:
-            self.known = {}
-        new = {word for words in split if words for word in words}.difference(self.known)
-        fresh = self._merge(new)
-        self.known.update((w, ids) for w, ids in fresh.items() if len(w) <= _LONGEST)
-        get = self.known.__getitem__ if all(len(w) <= _LONGEST for w in fresh) else {**self.known, **fresh}.__getitem__
-        return [
-            self._ids(text) if words is None else b"".join(map(get, words)) for text, words in zip(texts, split, strict=True)
-        ]
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _merge(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of each word, from the tokenizer's model, which takes bytes as characters."""
-        merge, table = self.tokenizer.model.tokenize, self.table
-        spelled = ((w, w if w.isascii() else w.encode().decode("latin-1").translate(table)) for w in words)
-        return {w: array("I", [token.id for token in merge(s)]).tobytes() for w, s in spelled}
+
+    def __missing__(self, word: str) -> bytes:
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.table)
+        ids = array("I", [token.id for token in self.merge(spelled)]).tobytes()
+        if len(word) <= _LONGEST:
+            self[word] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian 32-bit ids of a text, as encoding it whole would give."""
+        if _OTHER.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(self) > _REMEMBERED:
+            self.clear()
+        return b"".join(map(self.__getitem__, _SPLIT.findall(text.lower())))
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -82,14 +75,14 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        words = Remembered(path)
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows: list[tuple] = []
-                for row, ids in enumerate(encoder.encode([t or "" for t in part.column(1).to_pylist()])):
-                    ids += end
+                for row, text in enumerate(part.column(1)):
+                    ids = words.encode(text.as_py() or "") + end
                     n = len(ids) // 4
                     rows += [(row, s, min(capacity, n - s), ids[4 * s : 4 * (s + capacity)], n) for s in range(0, n, capacity)]
                 row, start, length, ids, n = zip(*rows, strict=True)
@@ -143,8 +136,8 @@ def packed(cut: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) for every piece, with ids if keep_ids."""
-    chars, rows = docs.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0)), F.count(F.lit(1))).first()
-    groups = max(1, -(-chars // GROUP_CHARS), -(-rows // GROUP_DOCS))
+    size, rows = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)), F.count(F.lit(1))).first()
+    groups = max(1, -(-size // GROUP_BYTES), -(-rows // GROUP_DOCS))
     cut = pieces(docs, path, id_col, text_col)
     crc = F.crc32("ids").alias("ids_crc32")
     rest = ["doc_tokens", "ids"] if keep_ids else ["doc_tokens"]
