@@ -1,12 +1,14 @@
 """The data contract: what a user declares about one table.
 
 A contract is driver-side configuration. It is loaded from YAML (or a dict) and checked
-completely before Spark is touched, so that a bad contract never fails half way through a job.
+completely before any data is read, so that a bad contract never fails half way through a job.
+Patterns are judged by Java: at load if there is a session, else when the contract is applied.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 from typing import Any
@@ -22,11 +24,13 @@ from covenant.functions.registry import TRANSFORM_BUILDERS
 FLAGS = "_dq_flags"
 REASON = "_quarantine_reason"
 CORRUPT = "_corrupt_record"
+UNDECLARED = "_undeclared_fields"
 POLICIES = ("quarantine", "nullify", "warn")
 FORMATS = ("json", "csv", "parquet", "table")
 DERIVATIONS = ("to_date",)
 KEEP = ("first", "last")
 
+# The type names of the contract file.
 TYPES: dict[str, T.DataType] = {
     "string": T.StringType(),
     "long": T.LongType(),
@@ -152,6 +156,11 @@ class Contract:
         except (ContractError, yaml.YAMLError) as error:
             raise ContractError(f"{origin}: {error}") from None
 
+    def check_patterns(self) -> None:
+        """Refuse patterns that Java refuses; for contracts that were loaded before there was a session."""
+        if problems := _pattern_problems(self.columns):
+            raise ContractError("; ".join(problems))
+
     @property
     def required(self) -> list[str]:
         """Columns whose NULL rejects the row: the key, then the non-nullable columns."""
@@ -288,21 +297,28 @@ def _read_contract(raw: Any, problems: list[str]) -> Contract | None:
 
 
 def _regex_problem(pattern: str) -> str | None:
-    """Why Spark would refuse the pattern. Spark itself is asked when a session is running."""
+    """Why Spark would refuse the pattern. Only Java judges it; without a session that waits until use."""
     spark = SparkSession.getActiveSession()
-    if spark is not None:
-        try:
-            spark.range(1).select(F.lit("").rlike(pattern)).collect()
-            return None
-        except Exception as error:  # the JVM wraps pattern errors in several ways
-            return str(error).splitlines()[0]
-    if "\\p" in pattern or "(?" in pattern:
-        return None  # Java-only syntax cannot be judged without Spark
+    if spark is None:
+        return None
     try:
-        re.compile(pattern)
+        if hasattr(spark, "_jvm"):
+            spark._jvm.java.util.regex.Pattern.compile(pattern)
+        else:  # a client of a remote session has no Java of its own
+            spark.range(1).select(F.lit("").rlike(pattern)).collect()
         return None
-    except re.error as error:
-        return str(error)
+    except Exception as error:  # pattern errors come wrapped in several ways
+        lines = str(error).splitlines()
+        return next((line for line in lines if "PatternSyntaxException" in line), lines[0])
+
+
+def _pattern_problems(columns: Iterable[ColumnSpec]) -> list[str]:
+    out = []
+    for c in columns:
+        problem = None if c.rules.regex is None else _regex_problem(c.rules.regex)
+        if problem:
+            out.append(f"column {c.name!r}: bad regex {c.rules.regex!r}: {problem}")
+    return out
 
 
 def _column_problems(c: ColumnSpec) -> list[str]:
@@ -323,11 +339,7 @@ def _column_problems(c: ColumnSpec) -> list[str]:
         out.append(f"{where}: min/max need a numeric type, not {c.type!r}")
     if r.min is not None and r.max is not None and r.min > r.max:
         out.append(f"{where}: min {r.min} is above max {r.max}")
-    if r.regex is not None:
-        problem = _regex_problem(r.regex)
-        if problem:
-            out.append(f"{where}: bad regex {r.regex!r}: {problem}")
-    return out
+    return out + _pattern_problems([c])
 
 
 def _inconsistencies(contract: Contract) -> list[str]:

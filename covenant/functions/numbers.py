@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from covenant.functions.text import strip_text
 
 # Text forms of a number.
-_EXPONENT_FORM = r"^-?[0-9]+(\.[0-9]+)?[eE][+-]?[0-9]+$"
+_EXPONENT_FORM = r"^[+-]?[0-9]+(\.[0-9]+)?[eE][+-]?[0-9]+$"
 _AMOUNT_CHARS = "0123456789,.-"
 _NUMERAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 # Words that are numbers too, with their place in [0, 1].
@@ -40,8 +40,8 @@ def clean_numeric(col: Column, kind: T.DataType = T.StringType()) -> Column:
     """Amount as double, from a number or from text with currency signs and separators.
 
     A comma is the decimal mark whenever there is one, and dots are then group marks. What still
-    is not a number becomes NULL, as do booleans. Text that is wholly a number in exponent form
-    keeps its value. ``kind`` is the type of the incoming column.
+    is not a number becomes NULL, as do booleans. Text that is wholly a number in exponent form,
+    white space around it aside, keeps its value. ``kind`` is the type of the incoming column.
     """
     if isinstance(kind, T.BooleanType):
         return F.lit(None).cast("double")
@@ -50,7 +50,8 @@ def clean_numeric(col: Column, kind: T.DataType = T.StringType()) -> Column:
     raw = col.cast("string")
     # regular expressions are the slow part: they see only text that may need them
     has_e = F.contains(raw, F.lit("e")) | F.contains(raw, F.lit("E"))
-    amount = F.when(has_e & raw.rlike(_EXPONENT_FORM), raw).otherwise(_amount_chars(raw))
+    bare = strip_text(raw)
+    amount = F.when(has_e & bare.rlike(_EXPONENT_FORM), bare).otherwise(_amount_chars(raw))
     dotted = F.when(F.contains(amount, F.lit(",")), F.translate(amount, ",.", ".")).otherwise(amount)
     return dotted.try_cast("double")
 

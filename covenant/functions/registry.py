@@ -23,8 +23,9 @@ Builder = Callable[[Column, "ColumnSpec", T.DataType], Column]
 
 
 def _timestamp(col: Column, column: ColumnSpec, kind: T.DataType) -> Column:
-    temporal = isinstance(kind, (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType))
-    return parse_timestamp(col if temporal else col.cast("string"), column.formats)
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return col.try_cast("timestamp")  # a date or time already: formats describe text
+    return parse_timestamp(col.cast("string"), column.formats)
 
 
 TRANSFORM_BUILDERS: dict[str, Builder] = {

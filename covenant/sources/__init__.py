@@ -1,5 +1,5 @@
 """Raw tables: JSON lines, CSV, Parquet or a named table."""
 
-from covenant.sources.readers import declared_json_schema, read_source
+from covenant.sources.readers import read_source
 
-__all__ = ["declared_json_schema", "read_source"]
+__all__ = ["read_source"]

@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 import pytest
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,3 +171,22 @@ def test_users_can_register_a_transform(spark):
         assert rows(apply_contract(df, contract).valid) == [("X", [])]
     finally:
         del TRANSFORM_BUILDERS["shout"]
+
+
+@pytest.mark.parametrize("pattern, fits", [(r"\h+", True), (r"a\z", True), (r"\Qa.b\E", True), (r"^\p{Lu}+$", True), ("(?<x", False), ("a(", False)])
+def test_java_judges_patterns_in_any_state_of_the_session(spark, tmp_path, pattern, fits):
+    path = tmp_path / "c.yaml"
+    path.write_text(f"version: '1'\nname: t\nsource: {{format: parquet, path: x}}\ncolumns:\n  - {{name: s, type: string, rules: {{regex: '{pattern}'}}}}\n")
+    if fits:
+        assert load_contracts(str(path))[0].columns[0].rules.regex == pattern
+    else:
+        with pytest.raises(ContractError, match="bad regex"):
+            load_contracts(str(path))
+
+
+def test_patterns_loaded_without_a_session_are_judged_at_use(spark, monkeypatch):
+    monkeypatch.setattr(SparkSession, "getActiveSession", classmethod(lambda cls: None))
+    contract = make(column("s", rules={"regex": "(?<x"}))
+    monkeypatch.undo()
+    with pytest.raises(ContractError, match="bad regex"):
+        apply_contract(spark.createDataFrame([("x",)], "s string"), contract)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-_EXPONENT = re.compile(r"-?[0-9]+(\.[0-9]+)?[eE][+-]?[0-9]+")
+_EXPONENT = re.compile(r"[+-]?[0-9]+(\.[0-9]+)?[eE][+-]?[0-9]+")
 _NUMERAL = re.compile(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?")
 
 
@@ -21,7 +21,7 @@ def _to_float(text: str) -> float | None:
 def amount(text: str | None) -> float | None:
     if text is None:
         return None
-    if _EXPONENT.fullmatch(text):
+    if _EXPONENT.fullmatch(text.strip()):
         return float(text)
     kept = "".join(ch for ch in text if ch in "0123456789,.-")
     head, comma, tail = kept.rpartition(",")
