@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,37 +14,52 @@ from covenant.operators.columns import ref
 _RANK = "__rank"
 
 
-def _sortable(kind: T.DataType) -> bool:
+def _orderable(col: Column, kind: T.DataType) -> Column:
+    """A form of the column that has an order: maps as sorted entries, variants as JSON text."""
+    if isinstance(kind, T.VariantType):
+        return F.to_json(col)
+    if isinstance(kind, T.MapType):
+        return F.array_sort(F.map_entries(col)) if _sorts(kind.valueType) else F.to_json(col)
+    return col if _sorts(kind) else F.to_json(F.struct(col))
+
+
+def _sorts(kind: T.DataType) -> bool:
     if isinstance(kind, T.StructType):
-        return all(_sortable(f.dataType) for f in kind.fields)
+        return all(_sorts(f.dataType) for f in kind.fields)
     if isinstance(kind, T.ArrayType):
-        return _sortable(kind.elementType)
+        return _sorts(kind.elementType)
     return not isinstance(kind, (T.MapType, T.VariantType))
 
 
 def keep_one(
-    df: DataFrame, keys: Sequence[str], order_by: str | None = None, keep: str = "last"
+    df: DataFrame,
+    keys: Sequence[str],
+    order_by: str | None = None,
+    keep: str = "last",
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """The last (greatest) or first (smallest) row of each key by ``order_by``.
 
-    Ties go on through the remaining columns in table order, so the winner never depends on how
-    rows are spread. NULL is the smallest value: it loses under ``last`` and wins under ``first``.
+    Ties go on through the columns of ``ties``, then through all others by name, so the winner
+    depends neither on how rows are spread nor on the order of the columns. NULL is the smallest
+    value: it loses under ``last`` and wins under ``first``.
 
     ``row_number() = 1`` lets Spark drop losers inside every map task before the shuffle
     (WindowGroupLimit), so a key that holds much of the table still sends only one row per task.
     """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
     lead = order_by or keys[0]
-    ties = [f.name for f in df.schema.fields if f.name != lead and f.name not in keys and _sortable(f.dataType)]
-    if keep == "last":
-        order = [ref(c).desc_nulls_last() for c in [lead, *ties]]
-    else:
-        order = [ref(c).asc_nulls_first() for c in [lead, *ties]]
+    rest = dict.fromkeys([*(c for c in ties if c in kinds), *sorted(kinds)])
+    columns = [lead, *(c for c in rest if c != lead and c not in keys)]
+    values = [_orderable(ref(c), kinds[c]) for c in columns if c in kinds] or [ref(lead)]
+    order = [v.desc_nulls_last() if keep == "last" else v.asc_nulls_first() for v in values]
     rank = F.row_number().over(Window.partitionBy(*[ref(k) for k in keys]).orderBy(*order))
     return df.withColumn(_RANK, rank).where(F.col(_RANK) == 1).drop(_RANK)
 
 
 def deduplicate(df: DataFrame, contract: Contract) -> DataFrame:
-    """Dedup as the contract declares it; no declaration leaves the rows alone."""
+    """Dedup as the contract declares it, ties by contract order; no declaration leaves the rows alone."""
     if contract.dedup is None:
         return df
-    return keep_one(df, contract.dedup.keys, contract.dedup.order_by, contract.dedup.keep)
+    ties = [c.name for c in contract.columns]
+    return keep_one(df, contract.dedup.keys, contract.dedup.order_by, contract.dedup.keep, ties)

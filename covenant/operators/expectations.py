@@ -7,10 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from covenant.contract import FLAGS, Contract
+from covenant.contract import Contract
 from covenant.operators.columns import all_of, where_computed
 from covenant.operators.required import MISSING, NULL_KEY
-from covenant.operators.rules import soft_flags
+from covenant.operators.rules import checks_of
 
 
 def hard_expectations(contract: Contract) -> dict[str, str]:
@@ -23,16 +23,8 @@ def hard_expectations(contract: Contract) -> dict[str, str]:
 
 
 def soft_expectations(contract: Contract) -> dict[str, str]:
-    """One predicate over the flags per warn or nullify rule; quarantined rows are gone already."""
-    return {
-        flag.replace(":", "_"): f"NOT array_contains({FLAGS}, '{_quoted(flag)}')"
-        for flag, policy in soft_flags(contract)
-        if policy != "quarantine"
-    }
-
-
-def _quoted(text: str) -> str:
-    return text.replace("\\", "\\\\").replace("'", "\\'")
+    """What the checks that leave a flag expect of the valid table; quarantined rows are gone from it."""
+    return dict(check.expectation for check in checks_of(contract) if not check.rejects)
 
 
 def _observed(df: DataFrame, expectations: Mapping[str, str], into: Observation | None) -> DataFrame:

@@ -33,16 +33,22 @@ def missing_reason(contract: Contract) -> Column:
 
 def computes_required(contract: Contract) -> bool:
     """Whether a required value comes out of a transform."""
-    return any(c.transform for c in contract.columns if c.name in contract.required)
+    return bool(_computed(contract))
+
+
+def _computed(contract: Contract) -> list[str]:
+    return [c.name for c in contract.columns if c.transform and c.name in contract.required]
 
 
 def complete_rows(typed: DataFrame, contract: Contract) -> DataFrame:
     """Rows that have every required value.
 
-    The plain null tests reach the scan, unless a required value has to be computed first.
+    The null tests of values that no transform computes come first and reach the scan.
     """
-    present = all_of(ref(c).isNotNull() for c in contract.required)
-    return where_computed(typed, present) if computes_required(contract) else typed.where(present)
+    computed = _computed(contract)
+    plain = [c for c in contract.required if c not in computed]
+    kept = typed.where(all_of(ref(c).isNotNull() for c in plain)) if plain else typed
+    return where_computed(kept, all_of(ref(c).isNotNull() for c in computed)) if computed else kept
 
 
 def incomplete_rows(typed: DataFrame, contract: Contract) -> DataFrame:

@@ -32,6 +32,17 @@ class Check:
     def policy(self) -> str:
         return self.column.rules.on_fail
 
+    @property
+    def rejects(self) -> bool:
+        """Whether rows that break it are quarantined; the other policies leave a flag."""
+        return self.policy == "quarantine"
+
+    @property
+    def expectation(self) -> tuple[str, str]:
+        """Name and SQL predicate of the check as an expectation over the valid table's flags."""
+        text = self.flag.replace("\\", "\\\\").replace("'", "\\'")
+        return f"{self.name}_{self.column.name}", f"NOT array_contains({FLAGS}, '{text}')"
+
     @property
     def compares_rows(self) -> bool:
         return self.name == "duplicate"
@@ -95,9 +106,7 @@ def judge(df: DataFrame, contract: Contract) -> DataFrame:
         empty = F.array().cast("array<string>")
         return df.withColumns({FLAGS: empty, REASON: F.lit(None).cast("string")})
     judged = _check_rows(df, [c for c in checks if not c.compares_rows])
-    for check in checks:
-        if check.compares_rows:
-            judged = mark_repeated(judged, check.column.name, f"__hit_{check.flag}")
+    judged = mark_repeated(judged, {c.column.name: f"__hit_{c.flag}" for c in checks if c.compares_rows})
     flagged = [F.when(_hit(c), F.lit(c.flag)) for c in checks if c.policy != "quarantine"]
     reasons = [
         F.when(_hit(c), F.lit(f"{VIOLATION}:{c.flag}")) for c in checks if c.policy == "quarantine"

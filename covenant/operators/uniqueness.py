@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,33 +12,37 @@ from covenant.operators.columns import ref
 _VALUE, _HASH, _SPREAD = "__value", "__hash", "__spread"
 
 
-def mark_repeated(df: DataFrame, column: str, flag: str) -> DataFrame:
-    """Add boolean ``flag``: the value is not NULL and at least one other row holds it too.
+def mark_repeated(df: DataFrame, flags: Mapping[str, str]) -> DataFrame:
+    """Add a boolean flag per column: the value is not NULL and at least one other row holds it too.
 
     A count window would pull all rows of a value into one task. Instead values are counted with
     a map-side combine, only repeated ones are kept, and rows look themselves up in that list by
-    a left join. The list is as small as the data is clean, and nothing here forces a broadcast:
-    Spark broadcasts it when its measured size is under the session's threshold, and else
-    sort-merges, where adaptive execution splits the partition of a hot value over many tasks.
-    It can do so only if both sides come straight out of a shuffle, which the hash as second join
-    key ensures: the counts are grouped by the value alone, so they are not yet partitioned by both.
+    a left join. All lists come from ``df`` itself and only then are the lookups chained, so the
+    plan grows with the number of columns and no faster. A list is as small as the data is clean,
+    and nothing here forces a broadcast: Spark broadcasts it when its measured size is under the
+    session's threshold, and else joins by shuffle, where adaptive execution splits the partition of
+    a hot value over many tasks. It can do so only if both sides come straight out of a shuffle,
+    which the hash as second join key ensures: the counts are grouped by the value alone, so they
+    are not yet partitioned by both.
 
     NULL rows find no partner, so they are spread by a hash of the whole row over all tasks.
     """
-    value = ref(column)
-    repeated = (
-        df.where(value.isNotNull())
-        .groupBy(value.alias(_VALUE))
-        .count()
-        .where(F.col("count") > 1)
-        .select(_VALUE, F.xxhash64(_VALUE).alias(_HASH))
-    )
+    lists = [(column, flag, _repeated(df, column, i)) for i, (column, flag) in enumerate(flags.items())]
     whole_row = F.xxhash64(*[ref(f) for f in _hashable(df)])
-    spread = F.when(value.isNotNull(), F.xxhash64(value)).otherwise(whole_row)
-    rows = df.withColumn(_SPREAD, spread)
-    same = (ref(column) == F.col(_VALUE)) & (F.col(_SPREAD) == F.col(_HASH))
-    joined = rows.join(repeated, same, "left")
-    return joined.withColumn(flag, F.col(_VALUE).isNotNull()).drop(_SPREAD, _VALUE, _HASH)
+    for i, (column, flag, repeated) in enumerate(lists):
+        value, spread, listed = ref(column), f"{_SPREAD}{i}", f"{_VALUE}{i}"
+        df = df.withColumn(spread, F.when(value.isNotNull(), F.xxhash64(value)).otherwise(whole_row))
+        same = (value == F.col(listed)) & (F.col(spread) == F.col(f"{_HASH}{i}"))
+        joined = df.join(repeated, same, "left").withColumn(flag, F.col(listed).isNotNull())
+        df = joined.drop(spread, listed, f"{_HASH}{i}")
+    return df
+
+
+def _repeated(df: DataFrame, column: str, i: int) -> DataFrame:
+    """The values that two rows or more hold, each with its hash."""
+    value, listed = ref(column), f"{_VALUE}{i}"
+    counted = df.where(value.isNotNull()).groupBy(value.alias(listed)).count()
+    return counted.where(F.col("count") > 1).select(listed, F.xxhash64(listed).alias(f"{_HASH}{i}"))
 
 
 def _hashable(df: DataFrame) -> list[str]:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covenant.contract import REASON, Contract
+from covenant.operators.columns import ref
 from covenant.operators.dedup import deduplicate
 from covenant.operators.final import derive, final_columns
 from covenant.operators.required import complete_rows, incomplete_rows
@@ -35,16 +36,37 @@ def split(typed: DataFrame, contract: Contract, stage: Stage | None = None) -> O
     policy. In that case the judged rows feed both results, and ``stage`` (see
     ``covenant.sinks.shared_stage``) may store them once in between.
     """
-    judged = judge(deduplicate(complete_rows(typed, contract), contract), contract)
+    judged = judged_rows(complete_rows(typed, contract), contract)
+    if stage and rejects_softly(contract):
+        judged = stage(judged)
+    return parted(typed, judged, contract)
+
+
+def rejects_softly(contract: Contract) -> bool:
+    return any(check.rejects for check in checks_of(contract))
+
+
+def judged_rows(complete: DataFrame, contract: Contract) -> DataFrame:
+    """Dedup and soft rules over rows that have every required value, with flags and soft reason.
+
+    Columns outside the contract go along only where a soft policy may show them in the
+    quarantine; else they are neither read nor shuffled.
+    """
+    if not rejects_softly(contract):
+        complete = complete.select(*[ref(c.name) for c in contract.columns])
+    return judge(deduplicate(complete, contract), contract)
+
+
+def parted(typed: DataFrame, judged: DataFrame, contract: Contract) -> Outcome:
+    """The two results out of all typed rows and the judged ones."""
     quarantine = incomplete_rows(typed, contract)
-    if any(c.policy == "quarantine" for c in checks_of(contract)):
-        judged = stage(judged) if stage else judged
-        rejected = judged.where(F.col(REASON).isNotNull())
-        quarantine = quarantine.unionByName(rejected)
+    if rejects_softly(contract):
+        quarantine = quarantine.unionByName(judged.where(F.col(REASON).isNotNull()))
         judged = judged.where(F.col(REASON).isNull())
     return Outcome(contract.name, final_columns(derive(judged, contract), contract), quarantine)
 
 
 def apply_contract(df: DataFrame, contract: Contract, stage: Stage | None = None) -> Outcome:
     """Raw rows in, valid and quarantined rows out. Nothing runs until a result is used."""
+    contract.check_patterns()
     return split(conform(df, contract), contract, stage)

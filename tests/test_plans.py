@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +141,46 @@ def test_dedup_shuffle_is_shared_by_count_and_lookup(spark, settings):
 def test_nulls_spread_over_all_partitions(spark, settings):
     settings(autoBroadcastJoinThreshold="-1", adaptive__enabled="false")
     df = spark.range(4000).selectExpr("id", "CAST(NULL AS STRING) AS v")
-    marked = mark_repeated(df, "v", "hit")
+    marked = mark_repeated(df, {"v": "hit"})
     sizes = [r["count"] for r in marked.groupBy(F.spark_partition_id()).count().collect()]
     assert marked.where("hit").count() == 0 and len(sizes) == 4 and max(sizes) < 1300
+
+
+def test_many_unique_columns_grow_the_plan_by_one_relation_each(spark):
+    names = [f"u{i}" for i in range(10)]
+    contract = make(column("id", "long"), *(column(n, rules={"unique": True}) for n in names))
+    df = spark.range(5).selectExpr("id", *(f"CAST(id % {i + 2} AS STRING) AS u{i}" for i in range(10)))
+    df.write.mode("overwrite").saveAsTable("many_unique")
+    began = time.time()
+    valid = apply_contract(spark.table("many_unique"), contract).valid
+    assert time.time() - began < 3
+    assert valid._jdf.queryExecution().analyzed().toString().count("Relation ") == 11
+    assert len(valid.where("id = 0").first()["_dq_flags"]) == 3  # u0 to u2 repeat 0 within five rows
+
+
+def test_columns_outside_the_contract_are_not_read_without_a_soft_policy(spark):
+    pages = spark.read.parquet(f"{TESTDATA}/pages.parquet")
+    columns = (column("url", nullable=False), column("page_id", "long"))
+    dedup = {"keys": ["url"], "order_by": "page_id"}
+    plan = plan_of(apply_contract(pages, make(*columns, dedup=dedup)).valid)
+    assert "html" not in plan
+    limit = column("page_id", "long", rules={"min": 5, "on_fail": "quarantine"})
+    found = apply_contract(pages, make(columns[0], limit, dedup=dedup))
+    assert "html" in plan_of(found.quarantine) and found.quarantine.where("html IS NOT NULL").count() > 0
+
+
+def test_the_winner_does_not_depend_on_the_order_of_columns(spark):
+    contract = make(column("k", "long", nullable=False), column("a"), column("b"), dedup={"keys": ["k"]})
+    df = spark.createDataFrame([(1, "x", "p", "m"), (1, "y", "o", "n")], "k long, a string, b string, e string")
+    for order in (["k", "a", "b", "e"], ["e", "b", "a", "k"], ["b", "k", "e", "a"]):
+        assert [tuple(r)[:3] for r in apply_contract(df.select(*order), contract).valid.collect()] == [(1, "y", "o")]
+    kept = [keep_one(df.select(*order), ["k"]).select("k", "a", "b", "e").first() for order in (["k", "b", "a", "e"], ["e", "a", "k", "b"])]
+    assert kept[0] == kept[1]
+    maps = df.selectExpr("k", "map('m', a) AS m", "parse_json(concat('\"', b, '\"')) AS v")
+    assert keep_one(maps, ["k"]).first()["m"] == {"m": "y"}
+
+
+def test_plain_null_tests_are_pushed_beside_computed_ones(spark):
+    contract = make(column("o_orderkey", "long", nullable=False), column("o_comment", "double", transform="clean_numeric", nullable=False))
+    orders = spark.read.parquet(f"{TESTDATA}/orders.parquet").withColumn("o_comment", F.lit("7"))
+    assert "PushedFilters: [IsNotNull(o_orderkey)]" in plan_of(apply_contract(orders, contract).valid)
