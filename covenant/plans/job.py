@@ -17,19 +17,19 @@ from pyspark.sql import DataFrame, SparkSession
 from covenant.contract import Contract
 from covenant.plans.batch import apply_contract
 from covenant.sinks.report import RunCounters, report_frame
-from covenant.sinks.staging import shared_stage
+from covenant.sinks.staging import SharedStage
 from covenant.sinks.writers import write_outcome
 from covenant.sources import read_source
 
 PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 HASH_JOIN = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+ZONE = "spark.sql.session.timeZone"
+# Below so much in every measured partition of its smaller side, a join by sort becomes one by hash.
 HASH_JOIN_BYTES = "64MB"
-# Bytes of input per shuffle partition, and a bound on the blocks a shuffle has to track.
+# Bytes of input per shuffle partition.
 PARTITION_BYTES = 128 * 1024 * 1024
-MOST_PARTITIONS = 40_000
-# Estimates from here on mean that Spark knows nothing about the input.
-UNKNOWN_BYTES = 2**60
-UTC = ("spark.sql.session.timeZone", "UTC")
+# Spark's estimate for what it knows nothing about.
+UNKNOWN_BYTES = 2**62
 
 
 def bundled_contracts() -> list[Contract]:
@@ -55,28 +55,36 @@ def input_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-@contextmanager
-def tuned(spark: SparkSession, raw: DataFrame) -> Iterator[None]:
-    """Session settings for one run; what the user has set is left alone.
+def wanted_partitions(raw: DataFrame) -> int:
+    """Shuffle partitions for an input: by its size, or by its scan tasks where the size is unknown."""
+    size = input_bytes(raw)
+    return -(-size // PARTITION_BYTES) if size < UNKNOWN_BYTES else raw.rdd.getNumPartitions()
+
 
-    Shuffles start with enough partitions for the input, since the session's default number suits
-    small tables; adaptive execution merges partitions that turn out small. And a sort-merge join
-    becomes a hash join where every measured partition of its smaller side is small, so the rows
-    that look up repeated values need not be sorted.
+@contextmanager
+def tuned(spark: SparkSession, raw: DataFrame, partitions: int | None = None) -> Iterator[None]:
+    """Session settings for one run, taken back afterwards.
+
+    Times are UTC, whatever zone the session has. Shuffles start with enough partitions for the
+    input (or with ``partitions``), since the session's default number suits small tables; adaptive
+    execution merges partitions that turn out small. And a sort-merge join becomes a hash join
+    where every measured partition of its smaller side is small, so the rows that look up repeated
+    values need not be sorted. Of these two, what the user has set is left alone.
     """
-    usual, size = int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(raw)
-    wanted = {HASH_JOIN: HASH_JOIN_BYTES}
-    partitions = min(-(-size // PARTITION_BYTES), MOST_PARTITIONS)
-    if usual < partitions and size < UNKNOWN_BYTES:
-        wanted[PARTITIONS] = str(partitions)
-    ours = {key: value for key, value in wanted.items() if spark.conf.get(key, None) is None}
-    for key, value in ours.items():
+    ours = {HASH_JOIN: HASH_JOIN_BYTES}
+    most = partitions or wanted_partitions(raw)
+    if partitions or int(spark.conf.get("spark.sql.shuffle.partitions")) < most:
+        ours[PARTITIONS] = str(most)
+    ours = {key: value for key, value in ours.items() if spark.conf.get(key, None) is None}
+    zone = spark.conf.get(ZONE)
+    for key, value in {**ours, ZONE: "UTC"}.items():
         spark.conf.set(key, value)
     try:
         yield
     finally:
         for key in ours:
             spark.conf.unset(key)
+        spark.conf.set(ZONE, zone)
 
 
 def publish(
@@ -85,18 +93,24 @@ def publish(
     target: str,
     fmt: str = "parquet",
     source: DataFrame | None = None,
+    as_table: bool | None = None,
+    partitions: int | None = None,
 ) -> list[tuple[str, str, int]]:
     """Apply one contract, write its two tables and return the counts taken on the way.
 
     Rows that feed both tables are staged once in the shared folder; the two writes themselves
-    count, so no separate counting job runs.
+    count, so no separate counting job runs. ``as_table`` says what the target is where its name
+    misleads, ``partitions`` how many partitions shuffles start with.
     """
     raw = read_source(spark, contract) if source is None else source
-    stage = shared_stage(spark, contract.name, target)
+    stage = SharedStage(spark, contract.name)
     counters = RunCounters(contract)
-    with tuned(spark, raw):
-        outcome = apply_contract(raw, contract, stage)
-        where = write_outcome(outcome, contract, target, fmt, counters=counters)
+    try:
+        with tuned(spark, raw, partitions):
+            outcome = apply_contract(raw, contract, stage)
+            where = write_outcome(outcome, contract, target, fmt, as_table, counters)
+    finally:
+        stage.discard()
     rows = counters.rows()
     counts = {metric: n for _, metric, n in rows}
     print(f"[{contract.name}] valid={counts['valid']} quarantine={counts['quarantine']} -> {where}")
@@ -109,12 +123,14 @@ def run(
     target: str,
     source_base: str | None = None,
     fmt: str = "parquet",
+    as_table: bool | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Publish every contract and return the quality report."""
-    spark.conf.set(*UTC)
     rows: list[tuple[str, str, int]] = []
     for contract in contracts:
-        rows += publish(spark, contract.reading_from(source_base), target, fmt)
+        moved = contract.reading_from(source_base)
+        rows += publish(spark, moved, target, fmt, as_table=as_table, partitions=partitions)
     return report_frame(spark, rows)
 
 
@@ -124,10 +140,16 @@ def main(argv: Sequence[str] | None = None) -> None:
     options.add_argument("--output", default="data/silver", help="folder, or catalog.schema")
     options.add_argument("--source-base", help="folder that holds the source files")
     options.add_argument("--format", default="parquet", help="table format of the output")
+    options.add_argument("--target", choices=["folder", "tables"], help="what the output is (default: by its name)")
+    options.add_argument("--shuffle-partitions", type=int, help="partitions that shuffles start with")
     given = options.parse_args(argv)
-    contracts = load_contracts(given.contracts)
     spark = SparkSession.builder.appName("covenant").getOrCreate()
-    run(spark, contracts, given.output, given.source_base, given.format).show(1000, truncate=False)
+    contracts = load_contracts(given.contracts)
+    as_table = None if given.target is None else given.target == "tables"
+    report = run(
+        spark, contracts, given.output, given.source_base, given.format, as_table, given.shuffle_partitions
+    )
+    report.show(1000, truncate=False)
     spark.stop()
 
 

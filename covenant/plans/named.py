@@ -1,14 +1,15 @@
-"""The declarative composition: four named datasets per contract.
+"""The declarative composition: each contract as named datasets that read one another by name.
 
-    <name>_bronze      the raw rows
-    <name>_typed       typed rows that have every required value (others are dropped)
-    <name>             the valid table; soft rules are watched, no row is lost
-    <name>_quarantine  rejected rows with their reason
+``<name>_bronze`` (raw rows), ``<name>_typed`` (rows with every required value), ``<name>_judged``
+(one row per key, with flags and soft reason), ``<name>`` (the valid table) and
+``<name>_quarantine``. Valid and quarantine both read the judged rows, so no dedup or lookup runs twice
+once those are stored. No pipeline server was run with these; tests drive a recorder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -20,11 +21,31 @@ from covenant.operators.expectations import (
     hard_expectations,
     soft_expectations,
 )
-from covenant.operators.required import computes_required
+from covenant.operators.required import complete_rows, computes_required
 from covenant.operators.typing import conform
-from covenant.plans.batch import split
+from covenant.plans.batch import judged_rows, parted, rejects_softly
 from covenant.sources import read_source
 
+Read = Callable[[str], DataFrame]
+
+
+@dataclass(frozen=True)
+class Dataset:
+    """A named dataset: how to make it out of the others, and what a pipeline should know of it.
+
+    ``undropped`` makes the rows before those that break ``dropping`` go, for a pipeline that drops
+    and counts them itself.
+    """
+
+    name: str
+    build: Callable[[Read], DataFrame]
+    stored: bool = False
+    comment: str = ""
+    dropping: dict[str, str] = field(default_factory=dict)
+    undropped: Callable[[Read], DataFrame] | None = None
+    watched: dict[str, str] = field(default_factory=dict)
+    partition_by: tuple[str, ...] = ()
+
 
 def typed_rows(
     bronze: DataFrame, contract: Contract, into: Observation | None = None
@@ -33,71 +54,89 @@ def typed_rows(
     return expect_or_drop(typed, hard_expectations(contract), into, computed)
 
 
-def valid_rows(typed: DataFrame, contract: Contract, into: Observation | None = None) -> DataFrame:
-    return expect_warn(split(typed, contract).valid, soft_expectations(contract), into)
-
-
-def quarantined_rows(bronze: DataFrame, contract: Contract) -> DataFrame:
-    """From the raw rows again, since the typed dataset has lost the incomplete ones."""
-    return split(conform(bronze, contract), contract).quarantine
+def valid_rows(judged: DataFrame, contract: Contract, into: Observation | None = None) -> DataFrame:
+    return expect_warn(parted(judged, judged, contract).valid, soft_expectations(contract), into)
+
+
+def datasets(spark: SparkSession, contract: Contract, bronze: DataFrame | None = None) -> list[Dataset]:
+    """The datasets of a contract, each after those it reads."""
+    name, base = contract.name, f"{contract.name}_bronze"
+
+    def raw(read: Read) -> DataFrame:
+        return read_source(spark, contract) if bronze is None else bronze
+
+    def rejected(read: Read) -> DataFrame:
+        # from the raw rows too, since the typed dataset has lost the incomplete ones
+        return parted(conform(read(base), contract), read(f"{name}_judged"), contract).quarantine
+
+    return [
+        Dataset(base, raw, comment=f"raw rows of {contract.source.path}"),
+        Dataset(
+            f"{name}_typed",
+            lambda read: typed_rows(read(base), contract),
+            comment="typed rows with all required values",
+            dropping=hard_expectations(contract),
+            undropped=lambda read: conform(read(base), contract),
+        ),
+        Dataset(
+            f"{name}_judged",
+            lambda read: judged_rows(complete_rows(read(f"{name}_typed"), contract), contract),
+            stored=rejects_softly(contract),  # two datasets read it then
+            comment="one row per key with its flags",
+        ),
+        Dataset(
+            name,
+            lambda read: valid_rows(read(f"{name}_judged"), contract),
+            stored=True,
+            comment=contract.description,
+            watched=soft_expectations(contract),
+            partition_by=contract.partition_by,
+        ),
+        Dataset(f"{name}_quarantine", rejected, stored=True, comment="rejected rows with a reason"),
+    ]
 
 
 def create_views(
     spark: SparkSession, contract: Contract, bronze: DataFrame | None = None
 ) -> list[str]:
-    """Define the four datasets as temporary views, each reading the earlier ones by name."""
-    name = contract.name
-    raw = read_source(spark, contract) if bronze is None else bronze
-    raw.createOrReplaceTempView(f"{name}_bronze")
-    typed_rows(spark.table(f"{name}_bronze"), contract).createOrReplaceTempView(f"{name}_typed")
-    valid_rows(spark.table(f"{name}_typed"), contract).createOrReplaceTempView(name)
-    quarantine = quarantined_rows(spark.table(f"{name}_bronze"), contract)
-    quarantine.createOrReplaceTempView(f"{name}_quarantine")
-    return [f"{name}_bronze", f"{name}_typed", name, f"{name}_quarantine"]
+    """Define the datasets as temporary views and return their names."""
+    found = datasets(spark, contract, bronze)
+    for dataset in found:
+        dataset.build(spark.table).createOrReplaceTempView(dataset.name)
+    return [dataset.name for dataset in found]
 
 
 def define_datasets(
-    spark: SparkSession, contracts: Iterable[Contract], pipelines: Any = None
+    spark: SparkSession,
+    contracts: Iterable[Contract],
+    pipelines: Any = None,
+    source_base: str | None = None,
 ) -> None:
     """Define the datasets of each contract in a Spark declarative pipeline.
 
     Call it from a pipeline source file. ``pipelines`` is the decorator module and defaults to
-    ``pyspark.pipelines``. Where it offers ``expect_all`` and ``expect_all_or_drop``, the rules
-    are handed over to it; open-source Spark has neither, so rows are dropped by a filter there.
+    ``pyspark.pipelines``; ``source_base`` is the folder that holds the source files. Where the module
+    offers ``expect_all`` and ``expect_all_or_drop``, the rules are handed over to it; open-source Spark
+    has neither, so rows are dropped by a filter there.
     """
     if pipelines is None:
         from pyspark import pipelines  # noqa: PLC0415 (only importable inside a pipeline run)
     for contract in contracts:
-        _define(spark, contract, pipelines)
-
-
-def _expecting(pipelines: Any, kind: str, rules: dict[str, str]) -> Callable:
-    decorate = getattr(pipelines, kind, None)
-    return decorate(rules) if decorate is not None and rules else (lambda function: function)
-
-
-def _define(spark: SparkSession, contract: Contract, pipelines: Any) -> None:
-    name = contract.name
-    hard, soft = hard_expectations(contract), soft_expectations(contract)
-    drops_itself = hasattr(pipelines, "expect_all_or_drop")
+        for dataset in datasets(spark, contract.reading_from(source_base)):
+            _define(spark, dataset, pipelines)
 
-    @pipelines.temporary_view(name=f"{name}_bronze", comment=f"raw rows of {contract.source.path}")
-    def bronze() -> DataFrame:
-        return read_source(spark, contract)
 
-    @pipelines.temporary_view(name=f"{name}_typed", comment="typed rows with all required values")
-    @_expecting(pipelines, "expect_all_or_drop", hard)
-    def typed() -> DataFrame:
-        rows = conform(spark.read.table(f"{name}_bronze"), contract)
-        return rows if drops_itself else expect_or_drop(rows, hard, None, computes_required(contract))
+def _define(spark: SparkSession, dataset: Dataset, pipelines: Any) -> None:
+    handed = dataset.undropped is not None and dataset.dropping and hasattr(pipelines, "expect_all_or_drop")
 
-    @pipelines.materialized_view(
-        name=name, comment=contract.description, partition_cols=list(contract.partition_by) or None
-    )
-    @_expecting(pipelines, "expect_all", soft)
-    def valid() -> DataFrame:
-        return valid_rows(spark.read.table(f"{name}_typed"), contract)
+    def build() -> DataFrame:
+        return (dataset.undropped if handed else dataset.build)(spark.read.table)
 
-    @pipelines.materialized_view(name=f"{name}_quarantine", comment="rejected rows with a reason")
-    def quarantine() -> DataFrame:
-        return quarantined_rows(spark.read.table(f"{name}_bronze"), contract)
+    for kind, rules in (("expect_all_or_drop", dataset.dropping), ("expect_all", dataset.watched)):
+        if rules and hasattr(pipelines, kind):
+            build = getattr(pipelines, kind)(rules)(build)
+    options = {"name": dataset.name, "comment": dataset.comment}
+    if not dataset.stored:
+        pipelines.temporary_view(**options)(build)
+    else:
+        pipelines.materialized_view(**options, partition_cols=list(dataset.partition_by) or None)(build)

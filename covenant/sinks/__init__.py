@@ -1,7 +1,7 @@
 """Result tables, shared intermediate storage and the quality report."""
 
 from covenant.sinks.report import report_frame
-from covenant.sinks.staging import shared_folder, shared_stage
+from covenant.sinks.staging import SharedStage, shared_folder
 from covenant.sinks.writers import is_table_target, write_outcome
 
-__all__ = ["is_table_target", "report_frame", "shared_folder", "shared_stage", "write_outcome"]
+__all__ = ["SharedStage", "is_table_target", "report_frame", "shared_folder", "write_outcome"]

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
-import zlib
-from collections.abc import Callable
+import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covenant.contract import REASON
+from covenant.operators.columns import ref
 
 _REJECTED = "__rejected"
 
@@ -18,9 +19,15 @@ _REJECTED = "__rejected"
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only a session that names none, as in local tests, gets a temporary folder of its own.
+    A session on a local master that names none, as in tests, gets a temporary folder of its own.
+    On a cluster that would be a folder of one machine, so there it is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = _own_folder()
     return folder.rstrip("/")
 
 
@@ -29,20 +36,28 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="covenant-")
 
 
-def shared_stage(spark: SparkSession, name: str, target: str) -> Callable[[DataFrame], DataFrame]:
-    """A stage that stores judged rows as Parquet in the shared folder and reads them back.
+class SharedStage:
+    """Stores judged rows once as Parquet in the shared folder and reads them back.
 
-    The path depends on contract and target only, so the next run overwrites it. Valid and
-    rejected rows lie in separate partitions, so each result reads only its own.
+    Every stage has a folder of its own, so runs and outcomes do not disturb each other. It stays
+    until ``discard``: whoever writes the results calls that afterwards. Valid and rejected rows
+    lie in separate partitions, so each result reads only its own.
     """
-    path = f"{shared_folder(spark)}/staged/{name}-{zlib.crc32(target.encode()):08x}"
 
-    def stage(judged: DataFrame) -> DataFrame:
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark = spark
+        self.path = f"{shared_folder(spark)}/staged/{name}-{uuid.uuid4()}"
+
+    def __call__(self, judged: DataFrame) -> DataFrame:
         schema = judged.schema
         marked = judged.withColumn(_REJECTED, F.col(REASON).isNotNull())
-        marked.write.mode("overwrite").partitionBy(_REJECTED).parquet(path)
-        stored = spark.read.schema(marked.schema).parquet(path)
+        marked.write.partitionBy(_REJECTED).parquet(self.path)
+        stored = self.spark.read.schema(marked.schema).parquet(self.path)
         reason = F.when(F.col(_REJECTED), F.col(REASON))
-        return stored.withColumn(REASON, reason).select(*schema.fieldNames())
+        return stored.withColumn(REASON, reason).select(*[ref(f) for f in schema.fieldNames()])
 
-    return stage
+    def discard(self) -> None:
+        """Remove the folder, where the session reaches the file system (a remote client does not)."""
+        if hasattr(self.spark, "_jvm"):
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from types import SimpleNamespace
 
 import pytest
@@ -16,6 +17,7 @@ from covenant.operators.expectations import (
     soft_expectations,
 )
 from covenant.operators.typing import conform
+from covenant.plans.batch import judged_rows
 from covenant.plans.named import create_views, define_datasets, typed_rows, valid_rows
 from tests.helpers import column, make, rows
 
@@ -51,7 +53,7 @@ def test_drop_and_warn_count_failures(spark, sample):
     typed = typed_rows(df, contract, dropped)
     assert typed.count() == 3
     assert dropped.get == {"rows": 5, "null_primary_key_k": 1, "not_nullable_violation_r": 1}
-    valid = valid_rows(typed_rows(df, contract), contract, watched)
+    valid = valid_rows(judged_rows(typed_rows(df, contract), contract), contract, watched)
     assert len(valid.collect()) == 1
     assert watched.get == {"rows": 1, "regex_w": 1, "duplicate_w": 1, "invalid_email_n": 0}
     counts = expectation_counts(conform(df, contract), hard_expectations(contract))
@@ -70,7 +72,7 @@ def test_no_rules_leave_the_table_alone(spark):
 def test_views_equal_the_batch_plan(spark, sample):
     contract, df = sample
     names = create_views(spark, contract, df)
-    assert names == ["sample_bronze", "sample_typed", "sample", "sample_quarantine"]
+    assert names == ["sample_bronze", "sample_typed", "sample_judged", "sample", "sample_quarantine"]
     batch = apply_contract(df, contract)
     assert rows(spark.table("sample")) == rows(batch.valid)
     assert rows(spark.table("sample_quarantine")) == rows(batch.quarantine)
@@ -81,7 +83,7 @@ def test_views_equal_the_batch_plan(spark, sample):
 def test_pipeline_datasets(spark, sample, tmp_path, with_expectations):
     contract, df = sample
     df.write.parquet(str(tmp_path / "raw"))
-    contract = contract.__class__(**{**contract.__dict__, "source": contract.source.__class__("parquet", str(tmp_path / "raw"))})
+    contract = replace(contract, source=replace(contract.source, path="elsewhere/raw"))
     defined, handed = {}, {}
 
     def dataset(**options):
@@ -98,8 +100,8 @@ def test_pipeline_datasets(spark, sample, tmp_path, with_expectations):
     if with_expectations:
         recorder.expect_all = expecting("warn")
         recorder.expect_all_or_drop = expecting("drop")
-    define_datasets(spark, [contract], recorder)
-    assert list(defined) == ["sample_bronze", "sample_typed", "sample", "sample_quarantine"]
+    define_datasets(spark, [contract], recorder, str(tmp_path))
+    assert list(defined) == ["sample_bronze", "sample_typed", "sample_judged", "sample", "sample_quarantine"]
     for function, options in defined.values():
         function().createOrReplaceTempView(options["name"])
     batch = apply_contract(df, contract)

@@ -13,7 +13,7 @@ from covenant import apply_contract
 from covenant.contract import FLAGS, REASON
 from covenant.plans import job
 from covenant.plans.job import publish
-from covenant.sinks import is_table_target, shared_folder, shared_stage, write_outcome
+from covenant.sinks import SharedStage, is_table_target, shared_folder, write_outcome
 from covenant.sinks.report import quality_report
 from covenant.sources import read_source
 from tests.helpers import column, make, plan_of, rows
@@ -115,42 +115,76 @@ def test_scattered_rejects_share_a_file(spark, tmp_path):
 
 
 def test_shuffles_start_with_room_for_the_input(spark, monkeypatch):
-    key = job.PARTITIONS
-    df = spark.range(10)
-    for size, expected in ((1000, None), (10 * 2**30, "80"), (100 * 2**40, "40000"), (2**63, None)):
+    key, zone = job.PARTITIONS, job.ZONE
+    df = spark.range(0, 10, 1, 6)
+    for size, expected in ((1000, None), (10 * 2**30, "80"), (100 * 2**40, "819200"), (2**63 - 1, "6")):
         monkeypatch.setattr(job, "input_bytes", lambda _, size=size: size)
+        spark.conf.set(zone, "America/Manaus")
         with job.tuned(spark, df):
             assert spark.conf.get(key, None) == expected
             assert spark.conf.get(job.HASH_JOIN) == "64MB"
+            assert spark.conf.get(zone) == "UTC"
         assert spark.conf.get(key, None) is None
         assert spark.conf.get(job.HASH_JOIN, None) is None
+        assert spark.conf.get(zone) == "America/Manaus"
+        spark.conf.set(zone, "UTC")
+    with job.tuned(spark, df, 33):
+        assert spark.conf.get(key) == "33"
     spark.conf.set(key, "7")
     with job.tuned(spark, df):
         assert spark.conf.get(key) == "7"
     spark.conf.unset(key)
 
 
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo"])
+def test_publish_does_not_depend_on_the_zone(spark, tmp_path, zone):
+    contract = make(column("at", "timestamp", transform="parse_timestamp", formats=["yyyy-MM-dd HH:mm:ss"]))
+    df = spark.createDataFrame([("2024-03-01 23:30:00",)], "at string")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    publish(spark, contract, str(tmp_path), source=df)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert str(spark.read.parquet(str(tmp_path / "sample")).first()["at"].isoformat()) in ("2024-03-01T23:30:00",)
+
+
+def test_a_folder_may_look_like_a_schema(spark, small, tmp_path, monkeypatch):
+    contract, df = small
+    monkeypatch.chdir(tmp_path)
+    publish(spark, contract, str(tmp_path / "out.v2"), source=df, as_table=False)
+    assert (tmp_path / "out.v2" / "sample").is_dir()
+    assert is_table_target("out.v2")
+
+
 def test_input_size_is_known_before_the_run(spark, tmp_path):
     spark.range(100000).write.parquet(str(tmp_path / "p"))
     assert 1000 < job.input_bytes(spark.read.parquet(str(tmp_path / "p"))) < 2**21
 
 
-def test_own_folder_only_where_none_is_named(spark):
-    named = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: "hdfs://shared/x/"))
-    unnamed = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default))
-    assert shared_folder(named) == "hdfs://shared/x"
-    assert shared_folder(unnamed) == shared_folder(unnamed)
+def test_own_folder_only_on_a_local_master(spark):
+    def session(**known):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: known.get(key.rsplit(".", 1)[1], default)))
+
+    assert shared_folder(session(dir="hdfs://shared/x/", master="yarn")) == "hdfs://shared/x"
+    assert shared_folder(session(master="local[4]")) == shared_folder(session(master="local"))
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", ""):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(session(master=master))
 
 
 def test_judged_rows_are_staged_once_in_the_shared_folder(spark, small):
     contract, df = small
     plain = apply_contract(df, contract)
-    staged = apply_contract(df, contract, shared_stage(spark, "sample", "target"))
+    stage, other = SharedStage(spark, "sample"), SharedStage(spark, "sample")
+    staged, again = apply_contract(df, contract, stage), apply_contract(df.limit(0), contract, other)
     assert rows(staged.valid) == rows(plain.valid)
     assert rows(staged.quarantine) == rows(plain.quarantine)
+    assert again.valid.count() == 0  # a second outcome leaves the first one's rows alone
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     assert "staged/sample-" in plan_of(staged.valid)
     assert "PartitionFilters: [" in plan_of(staged.valid) and "__rejected" in plan_of(staged.valid)
+    for each in (stage, other):
+        assert Path(each.path).exists()
+        each.discard()
+        assert not Path(each.path).exists()
 
 
 def test_json_reads_text_with_declared_fields(spark, tmp_path):
@@ -160,7 +194,7 @@ def test_json_reads_text_with_declared_fields(spark, tmp_path):
     source = {"format": "json", "path": str(path), "fields": ["extra"]}
     contract = make(column("k", "long", nullable=False), column("n", "double", transform="clean_numeric"), source=source)
     raw = read_source(spark, contract)
-    assert raw.dtypes == [("k", "string"), ("n", "string"), ("extra", "string"), ("_corrupt_record", "string")]
+    assert raw.dtypes == [("k", "string"), ("n", "string"), ("extra", "string"), ("_corrupt_record", "string"), ("_undeclared_fields", "map<string,string>")]
     found = apply_contract(raw, contract)
     assert rows(found.valid) == [(1, 12345678.9, []), (2, 0.1, [])]
     assert [(r["_corrupt_record"], r["extra"]) for r in found.quarantine.collect()] == [("not json", None)]
@@ -168,6 +202,31 @@ def test_json_reads_text_with_declared_fields(spark, tmp_path):
     assert "extra" in read_source(spark, inferred).columns
 
 
+def test_json_keeps_what_the_contract_does_not_declare(spark, tmp_path):
+    path = tmp_path / "in.json"
+    path.write_text('{"n":"b","zz":"kept?","o":{"x":1}}\n\n[{"k":1,"n":"c"},{"n":"d","y":2.50}]\n{"K":"7","N":"e","k2":1}\n[broken\n')
+    source = {"format": "json", "path": str(path)}
+    contract = make(column("k", "long", nullable=False), column("n"), source=source)
+    found = apply_contract(read_source(spark, contract), contract)
+    assert rows(found.valid) == [(1, "c", []), (7, "e", [])]  # the session ignores case
+    rejected = {r["n"]: (r["_undeclared_fields"], r["_corrupt_record"]) for r in found.quarantine.collect()}
+    assert rejected == {"b": ({"zz": "kept?", "o": '{"x":1}'}, None), "d": ({"y": "2.5"}, None), None: (None, "[broken")}
+    spelled = make(column("k", "long", nullable=False), column("n"), source={**source, "fields": ["K", "k2"]})
+    raw = read_source(spark, spelled)
+    assert raw.columns == ["K", "n", "k2", "_corrupt_record", "_undeclared_fields"]
+    assert rows(apply_contract(raw, spelled).valid) == [(1, "c", []), (7, "e", [])]
+
+
+def test_json_names_are_exact_where_the_session_says_so(spark, tmp_path):
+    (tmp_path / "in.json").write_text('{"K":"7"}\n{"k":"8"}\n')
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        raw = read_source(spark, make(column("k"), source={"format": "json", "path": str(tmp_path / "in.json")}))
+        assert rows(raw.select("k", "_undeclared_fields")) == [("8", None), (None, {"K": "7"})]
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+
+
 def test_csv_is_text_with_a_header_unless_told_otherwise(spark, tmp_path):
     path = tmp_path / "in.csv"
     path.write_text("a;b\n1;\n2;x\n")
