@@ -9,8 +9,8 @@ from showcase.raw import raw_sql
 
 def _clean_numeric(x: str) -> str:
     kept = (
-        f"CASE WHEN regexp_full_match({x}, '-?[0-9]+(\\.[0-9]+)?[eE][+-]?[0-9]+') THEN {x} "
-        f"ELSE regexp_replace({x}, '[^0-9,.-]', '', 'g') END"
+        f"CASE WHEN regexp_full_match(trim({x}), '[+-]?[0-9]+(\\.[0-9]+)?[eE][+-]?[0-9]+') "
+        f"THEN ltrim(trim({x}), '+') ELSE regexp_replace({x}, '[^0-9,.-]', '', 'g') END"
     )
     dotted = (
         f"CASE WHEN contains({kept}, ',') THEN replace(replace({kept}, '.', ''), ',', '.') "
@@ -91,7 +91,8 @@ _ORDER_REASON = """CASE WHEN txn_id IS NULL THEN 'null_primary_key:txn_id'
     WHEN amount_txt IS NULL THEN 'not_nullable_violation:amount_txt'
     WHEN ts_txt IS NULL THEN 'not_nullable_violation:ts_txt' END"""
 _LATEST_ORDER = """row_number() OVER (PARTITION BY txn_id ORDER BY ts_txt DESC NULLS LAST,
-    order_id DESC NULLS LAST) = 1"""
+    cust_txt DESC NULLS LAST, amount_txt DESC NULLS LAST, method DESC NULLS LAST,
+    score_txt DESC NULLS LAST, order_id DESC NULLS LAST, status DESC NULLS LAST) = 1"""
 _LOW, _HIGH = "amount_txt < 0", "amount_txt > 400000"
 _ORDER_STEPS = {
     "typed": _TYPED_ORDERS,
@@ -121,15 +122,6 @@ def _orders_quarantine(policy: str) -> str:
     return _with(_ORDER_STEPS, f"{hard} UNION ALL {soft}" if policy == "quarantine" else hard)
 
 
-# the JSON source reads the two extra fields as text, so ties break by text there
-_JSON_STEPS = {
-    **_ORDER_STEPS,
-    "kept": f"SELECT * FROM complete QUALIFY {_LATEST_ORDER}".replace(
-        "order_id DESC", """cust_txt DESC NULLS LAST, amount_txt DESC NULLS LAST,
-        method DESC NULLS LAST, score_txt DESC NULLS LAST, CAST(order_id AS VARCHAR) DESC"""
-    ),
-}
-
 _TRANSACTION_STEPS = {
     "named": """SELECT txn_id AS transaction_id, cust_txt AS customer_id,
         amount_txt AS transaction_amount, ts_txt AS transaction_date, method AS payment_method,
@@ -289,8 +281,8 @@ _TYPED_TEXT = f"order_id, {_ORDER_VALUES}, status"
 _LINE_TIES = ", ".join(
     f"{c} DESC NULLS LAST"
     for c in (
-        "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
-        "l_returnflag", "l_linestatus", "l_shipdate",
+        "l_discount", "l_extendedprice", "l_linestatus", "l_partkey", "l_quantity", "l_returnflag",
+        "l_shipdate", "l_suppkey", "l_tax",
     )
 )
 
@@ -326,7 +318,7 @@ ORACLE: dict[str, str] = {
     "bundled_fraud_flags": _FRAUD_VALID,
     "bundled_fraud_flags_quarantine": _FRAUD_REJECTED,
     "scan_json_conform": _with(
-        _JSON_STEPS,
+        _ORDER_STEPS,
         f"""SELECT {_ORDER_VALUES}, {_day_text("ts_txt")} AS ts_day, {_ORDER_FLAGS} AS _dq_flags
         FROM kept""",
     ),
@@ -346,7 +338,7 @@ ORACLE: dict[str, str] = {
     "typed_cast": _with(
         {},
         f"""SELECT TRY_CAST(order_id AS INT) AS order_id, TRY_CAST(cust_txt AS BIGINT) AS cust_txt,
-        TRY_CAST(trim(amount_txt) AS DOUBLE) AS amount_txt,
+        TRY_CAST(ltrim(trim(amount_txt), '+') AS DOUBLE) AS amount_txt,
         {_ts_text("TRY_CAST(ts_txt AS TIMESTAMP)")} AS ts_txt,
         CASE WHEN status = 'F' THEN FALSE END AS status {_RAW}""",
     ),
@@ -392,7 +384,8 @@ ORACLE: dict[str, str] = {
         {
             **_ORDER_STEPS,
             "firsts": """SELECT * FROM typed QUALIFY row_number() OVER (PARTITION BY txn_id
-            ORDER BY ts_txt ASC NULLS FIRST, order_id ASC NULLS FIRST) = 1""",
+            ORDER BY ts_txt ASC NULLS FIRST, amount_txt ASC NULLS FIRST, cust_txt ASC NULLS FIRST,
+            method ASC NULLS FIRST, order_id ASC NULLS FIRST) = 1""",
         },
         f"SELECT {_TYPED_TEXT} FROM firsts",
     ),
@@ -455,4 +448,51 @@ ORACLE: dict[str, str] = {
     ),
     "declarative_silver": _orders_valid("warn"),
     "declarative_quarantine": _orders_quarantine("quarantine"),
+    # typed rows go through a text contract unharmed
+    "parse_timestamp_typed": f"""SELECT o_orderkey, {_ts_text("o_orderdate")} AS o_orderdate,
+        strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d %H:%M:%S') AS day, NULL::VARCHAR AS _quarantine_reason
+        FROM orders""",
+    "scan_json_extra_fields": _with(
+        _ORDER_STEPS,
+        f"""SELECT CAST(order_id AS VARCHAR) AS order_id, status, {_ORDER_REASON} AS _quarantine_reason,
+        txn_id FROM typed WHERE NOT ({_COMPLETE})""",
+    ),
+    "rule_unique_many": """WITH left_values AS (SELECT event_id, user_id, event_type,
+        CASE WHEN regexp_matches(props, '1') THEN props END AS props FROM events),
+        counted AS (SELECT *, user_id IS NOT NULL AND count(*) OVER (PARTITION BY user_id) > 1 AS users,
+        event_type IS NOT NULL AND count(*) OVER (PARTITION BY event_type) > 1 AS types,
+        props IS NOT NULL AND count(*) OVER (PARTITION BY props) > 1 AS same FROM left_values)
+        SELECT event_id, user_id, CASE WHEN NOT types THEN event_type END AS event_type,
+        CASE WHEN NOT same THEN props END AS props,
+        concat_ws('|', CASE WHEN users THEN 'duplicate:user_id' END,
+        CASE WHEN types THEN 'duplicate:event_type' END,
+        CASE WHEN props IS NULL AND event_id IN (SELECT event_id FROM events WHERE NOT regexp_matches(props, '1'))
+        THEN 'regex:props' END, CASE WHEN same THEN 'duplicate:props' END) AS _dq_flags FROM counted""",
+    "dedup_extra_columns": """SELECT lang, doc_id, '' AS _dq_flags FROM (SELECT lang, max(doc_id) AS doc_id
+        FROM documents WHERE lang IS NOT NULL GROUP BY lang)""",
+    "schema_no_dedup": """SELECT l_orderkey, l_linenumber, '' AS _dq_flags FROM lineitem""",
+    "sink_table_roundtrip": _with(
+        {**_ORDER_STEPS, "rejected": f"""SELECT txn_id, {_ORDER_REASON} AS reason FROM typed WHERE NOT ({_COMPLETE})
+        UNION ALL SELECT txn_id, {_SOFT_ORDER} FROM kept WHERE {_SOFT_ORDER} IS NOT NULL"""},
+        f"""SELECT 'valid' AS result, txn_id, NULL::VARCHAR AS reason FROM kept WHERE {_SOFT_ORDER} IS NULL
+        UNION ALL SELECT 'quarantine', txn_id, reason FROM rejected""",
+    ),
+    "job_run": _with(
+        {
+            **{f"t_{k}": v for k, v in _TRANSACTION_STEPS.items() if k == "named"},
+            "t_typed": _TRANSACTION_STEPS["typed"].replace("FROM named", "FROM t_named"),
+            "t_kept": _TRANSACTION_STEPS["kept"].replace("FROM typed", "FROM t_typed"),
+            **{f"c_{k}": v.replace("FROM typed", "FROM c_typed").replace("FROM kept", "FROM c_kept").replace("FROM checked", "FROM c_checked")
+               for k, v in _CUSTOMER_STEPS.items() if k in ("typed", "kept", "checked", "judged")},
+            "f_typed": _FRAUD_STEPS["typed"],
+        },
+        """SELECT 'transactions_silver' AS "table", 'valid' AS metric, count(*) AS n FROM t_kept
+        UNION ALL SELECT 'transactions_silver', 'quarantine', count(*) FROM t_typed WHERE transaction_id IS NULL
+        OR customer_id IS NULL OR transaction_amount IS NULL OR transaction_date IS NULL
+        UNION ALL SELECT 'customers_silver', 'valid', count(*) FROM c_judged
+        UNION ALL SELECT 'customers_silver', 'quarantine', count(*) FROM c_typed
+        WHERE cust_txt IS NULL OR cust_name IS NULL OR since_txt IS NULL
+        UNION ALL SELECT 'fraud_flags_silver', 'valid', count(DISTINCT transaction_id) FROM f_typed
+        UNION ALL SELECT 'fraud_flags_silver', 'quarantine', count(*) FROM f_typed WHERE transaction_id IS NULL""",
+    ),
 }

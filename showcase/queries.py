@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covenant import Contract, apply_contract
-from covenant.contract import FLAGS, REASON
+from covenant.contract import FLAGS, REASON, UNDECLARED
 from covenant.functions import (
     clean_numeric,
     is_valid_email,
@@ -28,7 +28,7 @@ from covenant.operators.final import derive, final_columns
 from covenant.operators.required import complete_rows, incomplete_rows
 from covenant.operators.rules import judge
 from covenant.operators.typing import conform
-from covenant.plans.job import bundled_contracts, publish
+from covenant.plans.job import bundled_contracts, publish, run
 from covenant.plans.named import create_views
 from covenant.sinks.report import quality_report, report_frame
 from covenant.sinks.staging import shared_folder
@@ -171,6 +171,18 @@ def scan_table_conform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_text(apply_contract(read_source(spark, declared), declared).quarantine)
 
 
+@query
+def scan_json_extra_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that no contract declares, as the quarantine shows them; one declared name differs in case."""
+    path = _folder(spark, "orders_extra.json")
+    raw = raw_orders(spark, sf_dir).withColumnRenamed("txn_id", "Txn_ID")
+    raw.write.mode("overwrite").json(path)
+    declared = orders_contract(source={"format": "json", "path": path})
+    rejected = apply_contract(read_source(spark, declared), declared).quarantine
+    extra = {name: F.try_element_at(UNDECLARED, F.lit(name)).alias(name) for name in ("order_id", "status")}
+    return rejected.select(*extra.values(), REASON, "txn_id")
+
+
 # --- sinks and report ----------------------------------------------------------------------------
 
 
@@ -193,6 +205,30 @@ def sink_quarantine_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_text(spark.read.parquet(f"{path}/{declared.name}_quarantine"))
 
 
+@query
+def sink_table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both managed tables, in a schema that the write creates."""
+    declared = orders_contract(amount="quarantine", partition_by=["method"])
+    schema = f"silver_{spark.conf.get('spark.app.id').replace('-', '_').replace('.', '_')}"
+    write_outcome(apply_contract(raw_orders(spark, sf_dir), declared), declared, f"spark_catalog.{schema}")
+    valid = spark.table(f"{schema}.{declared.name}").select("txn_id", F.lit(None).cast("string").alias("reason"))
+    rejected = spark.table(f"{schema}.{declared.name}_quarantine").select("txn_id", F.col(REASON).alias("reason"))
+    both = [df.withColumn("result", F.lit(name)) for name, df in (("valid", valid), ("quarantine", rejected))]
+    return both[0].unionByName(both[1])
+
+
+@query
+def job_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job over three raw files that lie elsewhere than the bundled contracts say: rows per table."""
+    base = _folder(spark, "landing")
+    keep_spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    _as_transactions(spark, sf_dir).write.mode("overwrite").json(f"{base}/transactions.json")
+    _as_customers(spark, sf_dir).write.mode("overwrite").options(header=True, **keep_spaces).csv(f"{base}/customers.csv")
+    raw_fraud(spark, sf_dir).write.mode("overwrite").json(f"{base}/fraud_flags.json")
+    report = run(spark, bundled_contracts(), _folder(spark, "silver.v1"), base, as_table=False)
+    return report.where(F.col("metric").isin("valid", "quarantine"))
+
+
 @query
 def quality_report_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     declared = customers_contract(balance="quarantine")
@@ -232,6 +268,18 @@ def typed_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_text(typed.select("order_id", "cust_txt", "amount_txt", "ts_txt", "status"))
 
 
+@query
+def parse_timestamp_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that are a time or a date already, under a transform whose formats describe text."""
+    stamp = {"type": "timestamp", "nullable": False, "transform": "parse_timestamp", "formats": FORMATS}
+    columns = [{"name": "o_orderkey", "type": "long"}, {"name": "o_orderdate", **stamp}, {"name": "day", **stamp}]
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.to_date("o_orderdate").alias("day"))
+    found = apply_contract(orders, contract("typed_times", columns))
+    names = ("o_orderkey", "o_orderdate", "day")
+    rejected = found.quarantine.select(*names, REASON)
+    return as_text(found.valid.select(*names, F.lit(None).cast("string").alias(REASON)).unionByName(rejected))
+
+
 @query
 def typed_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = [
@@ -338,6 +386,22 @@ def dedup_tiebreak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_text(keep_one(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"]))
 
 
+@query
+def dedup_extra_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts and sources are no part of the contract: they are neither read nor shuffled."""
+    columns = [{"name": "lang", "type": "string", "nullable": False}, {"name": "doc_id", "type": "long"}]
+    declared = contract("languages", columns, dedup={"keys": ["lang"], "order_by": "doc_id", "keep": "last"})
+    return as_text(apply_contract(table(spark, sf_dir, "documents"), declared).valid)
+
+
+@query
+def schema_no_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a declaration all rows stay, repeated keys too."""
+    columns = [{"name": "l_orderkey", "type": "long", "nullable": False}, {"name": "l_linenumber", "type": "int"}]
+    declared = contract("lines", columns, primary_key=["l_orderkey"])
+    return as_text(apply_contract(table(spark, sf_dir, "lineitem"), declared).valid)
+
+
 # --- soft rules and policies ---------------------------------------------------------------------
 
 
@@ -394,6 +458,19 @@ def rule_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_text(judged.select("doc_id", FLAGS))
 
 
+@query
+def rule_unique_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three unique columns, two of them emptied where they repeat, one only after a pattern has emptied it too."""
+    columns = [
+        {"name": "event_id", "type": "long"},
+        {"name": "user_id", "type": "long", "rules": {"unique": True, "on_fail": "warn"}},
+        {"name": "event_type", "type": "string", "rules": {"unique": True, "on_fail": "nullify"}},
+        {"name": "props", "type": "string", "rules": {"regex": "1", "unique": True, "on_fail": "nullify"}},
+    ]
+    declared = contract("events", columns)
+    return as_text(apply_contract(table(spark, sf_dir, "events"), declared).valid)
+
+
 def _customers(spark: SparkSession, sf_dir: str, policy: str):
     declared = customers_contract(email=policy, document=policy, balance=policy)
     return apply_contract(raw_customers(spark, sf_dir), declared)
@@ -453,10 +530,10 @@ def soft_expectations_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def declarative_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = create_views(spark, orders_contract(), raw_orders(spark, sf_dir))
-    return as_text(spark.table(names[2]))
+    return as_text(spark.table(names[3]))
 
 
 @query
 def declarative_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = create_views(spark, orders_contract(amount="quarantine"), raw_orders(spark, sf_dir))
-    return as_text(spark.table(names[3]))
+    return as_text(spark.table(names[4]))

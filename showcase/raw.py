@@ -27,6 +27,7 @@ RAW_ORDERS = {
     "cust_txt": """CASE WHEN o_orderkey % 89 = 3 THEN 'unknown'
         ELSE CAST(o_custkey AS STRING) END""",
     "amount_txt": f"""CASE WHEN o_orderkey % 53 = 0 THEN 'INVALIDO'
+        WHEN o_orderkey % 82 = 0 THEN ' +' || CAST({_CENTS} AS STRING) || 'E-2 '
         WHEN o_orderkey % 41 = 0 THEN CAST({_CENTS} AS STRING) || 'e-2'
         WHEN o_orderkey % 5 = 0 THEN {_UNITS} || '.' || {_FRACTION}
         WHEN o_orderkey % 5 = 1 THEN 'R$ ' || {_THOUSANDS} || '.' || {_REST} || ',' || {_FRACTION}
@@ -107,8 +108,6 @@ def _columns(rules: dict[str, str], div: str) -> list[str]:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # the library's sessions run on UTC, like its job
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
