@@ -77,5 +77,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_html_text": op10_html_text,
 }
-
-ORACLE: dict[str, str] = {}
