@@ -36,6 +36,8 @@ from tests import value_model as model  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
+#: How many times the given orders and customers are repeated; beyond 1, a third of the rows is on one key.
+FACTOR = int(os.environ.get("BENCH_FACTOR", "1"))
 HEADLINE = ("bundled_fraud_flags", "dedup_keep_last", "dedup_tiebreak", "rule_unique")
 
 
@@ -79,6 +81,34 @@ def landed(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.parquet(folder)
 
 
+def many(df: DataFrame, key: str, hot: str) -> DataFrame:
+    """FACTOR copies of a table with keys of their own, of which a third share one key and one value of ``hot``."""
+    if FACTOR == 1:
+        return df
+    copies = df.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(FACTOR))))
+    third = F.xxhash64(*df.columns, "__copy") % 3 == 0
+    number = F.lit(10**8) * F.col("__copy")
+    own = F.concat_ws("-", key, "__copy") if key == "txn_id" else (F.col(key).try_cast("long") + number).cast("string")
+    value = F.when(third, "same@example.org" if hot == "email_txt" else "HOT").otherwise(F.concat_ws("-", hot, "__copy"))
+    one = F.lit("T1" if key == "txn_id" else "1")
+    return copies.withColumns({hot: F.when(F.col(hot).isNotNull(), value), key: F.when(F.col(key).isNotNull(), F.when(third, one).otherwise(own))}).drop("__copy")
+
+
+def counted_texts(documents: DataFrame) -> DataFrame:
+    """The unique check by a window that counts."""
+    return documents.select("doc_id", F.count("text").over(Window.partitionBy("text")) > 1)
+
+
+def without_group_limit(spark: SparkSession, work: Callable[[], object]) -> None:
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    usual = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        work()
+    finally:
+        spark.conf.set(key, usual)
+
+
 def udf_orders(raw: DataFrame) -> DataFrame:
     amount = F.udf(model.amount, "double")
     score = F.udf(lambda text: model.score(text, SCORES), "double")
@@ -131,8 +161,8 @@ def four_actions(raw: DataFrame, target: str) -> None:
 def main() -> None:
     spark = session()
     scratch = tempfile.mkdtemp(prefix="bench-")
-    orders = landed(raw_orders(spark, SF_DIR), f"{scratch}/orders")
-    customers = landed(raw_customers(spark, SF_DIR), f"{scratch}/customers")
+    orders = landed(many(raw_orders(spark, SF_DIR), "txn_id", "method"), f"{scratch}/orders")
+    customers = landed(many(raw_customers(spark, SF_DIR), "cust_txt", "email_txt"), f"{scratch}/customers")
     lines = table(spark, SF_DIR, "lineitem")
     warn, mixed = orders_contract(), orders_contract(amount="quarantine")
     people = customers_contract()
@@ -150,6 +180,8 @@ def main() -> None:
     others: dict[str, Callable[[], object]] = {
         "conform_orders_python_udf": lambda: to_noop(udf_orders(orders)),
         "conform_customers_python_udf": lambda: to_noop(udf_customers(customers)),
+        "dedup_lineitem_no_group_limit": lambda: without_group_limit(spark, works["dedup_lineitem"]),
+        "rule_unique_count_window": lambda: to_noop(counted_texts(table(spark, SF_DIR, "documents"))),
         "publish_orders_four_actions": lambda: four_actions(orders, f"{scratch}/out"),
     }
     out = sys.stdout
@@ -165,6 +197,7 @@ def main() -> None:
         "comparisons": comparisons,
         "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"),
         "cpus": int(CPUS),
+        "factor": FACTOR,
     }
     print(json.dumps(result), flush=True)
     spark.stop()
