@@ -6,37 +6,38 @@ ancestors of its members. A tree of depth n takes log2(n) rounds, and no round m
 plus members of chosen paths. Leaves are ranked per tree by the sum of the scores along their paths, which the same
 doubling adds up.
 
-The template. A turn is `<s>[role]text[/]</s>`. Inside texts and roles a backslash stands before each `<`, `[`, `]` and
-backslash, so no text can forge a mark, and all is read back exactly. The loss mask is the stretch of each assistant text, and is kept as spans
-of the formatted string.
+The template. A turn is `<s>[role]text[/]</s>`. Inside texts and roles a backslash and a letter stand for each `<`, `[`
+and `]`, and a backslash and a dash for a backslash, so no text can forge a mark, and all is read back exactly. The loss
+mask is the stretch of each assistant text, kept as spans of the formatted string.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from covenant.llm.common import settled
 
 LEARNT = "assistant"
 _OPEN, _CLOSE = "<s>[", "[/]</s>"
-_ESCAPE = re.compile(r"[\\<\[\]]")
-_ESCAPED = re.compile(r"\\(.)", re.S)
-_PLAIN = r"((?:[^\\<\[\]]++|\\.)*+)"
-_TURN = re.compile(rf"<s>\[{_PLAIN}\]{_PLAIN}\[/\]</s>", re.S)
+#: What stands for the characters that marks are made of; the backslash comes first, and last on the way back.
+_CODES = [("\\", "\\-"), ("<", "\\l"), ("[", "\\o"), ("]", "\\c")]
 
 
 def escaped(text: str) -> str:
-    return _ESCAPE.sub(r"\\\g<0>", text)
+    for plain, code in _CODES:
+        text = text.replace(plain, code)
+    return text
 
 
-def unescaped(text: str) -> str:
-    return _ESCAPED.sub(r"\1", text)
+def unescaped(text: Column) -> Column:
+    for plain, code in reversed(_CODES):
+        text = F.replace(text, F.lit(code), F.lit(plain))
+    return text
 
 
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
@@ -51,17 +52,16 @@ def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
     return "".join(parts), spans
 
 
-def parse(formatted: str) -> list[tuple[str, str]]:
-    """The turns of a formatted conversation; a ValueError if it is none."""
-    turns, at = [], 0
-    for turn in _TURN.finditer(formatted):
-        if turn.start() != at:
-            break
-        at = turn.end()
-        turns.append((unescaped(turn[1]), unescaped(turn[2])))
-    if at != len(formatted):
-        raise ValueError(f"no turn at character {at}")
-    return turns
+def parsed(formatted: Column) -> Column:
+    """The turns of a formatted conversation as an array of (role, text). No text or role holds a mark or its parts."""
+    parts = F.split(formatted, r"\[/\]</s>")
+
+    def turn(part: Column) -> Column:
+        end = F.instr(part, F.lit("]"))
+        role = F.substring(part, F.lit(len(_OPEN) + 1), end - (len(_OPEN) + 1))
+        return F.struct(unescaped(role).alias("role"), unescaped(F.substring(part, end + 1, F.length(part))).alias("text"))
+
+    return F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), turn)
 
 
 def paths(messages: DataFrame, best: int = 1) -> DataFrame:
@@ -81,23 +81,26 @@ def paths(messages: DataFrame, best: int = 1) -> DataFrame:
     # up: the ancestor `steps` up while there is one; total and depth: of the messages passed on the way, itself included
     reach = nodes.select("message", F.col("parent").alias("up"), F.col("score").alias("total"), F.lit(1).alias("depth"), F.col("message").alias("top"))
     jumps = [nodes.where("parent IS NOT NULL").select("message", F.col("parent").alias("up"))]
-    count = nodes.count()
-    for _ in range(max(count, 1).bit_length()):
-        ahead = reach.select(*(F.col(c).alias(f"{c}_") for c in ("message", "up", "total", "depth", "top")))
-        reach = settled(
-            reach.join(ahead, F.col("up") == F.col("message_"), "left").select(
+    arrived, pending = [reach.where("up IS NULL")], reach.where("up IS NOT NULL")
+    rounds = max(nodes.count(), 1).bit_length()
+    for _ in range(rounds):
+        # those on the way step on by what the one they have reached has passed; the others are done and stay as they are
+        ahead = reduce(DataFrame.unionByName, [*arrived, pending]).select(*(F.col(c).alias(f"{c}_") for c in reach.columns))
+        stepped = settled(
+            pending.join(ahead, F.col("up") == F.col("message_")).select(
                 "message",
                 F.col("up_").alias("up"),
-                (F.col("total") + F.coalesce("total_", F.lit(0.0))).alias("total"),
-                (F.col("depth") + F.coalesce("depth_", F.lit(0))).alias("depth"),
-                F.coalesce("top_", "top").alias("top"),
+                (F.col("total") + F.col("total_")).alias("total"),
+                (F.col("depth") + F.col("depth_")).alias("depth"),
+                F.col("top_").alias("top"),
             )
         )
-        pending = reach.where("up IS NOT NULL").select("message", "up")
+        arrived.append(stepped.where("up IS NULL"))
+        pending = stepped.where("up IS NOT NULL")
         if pending.isEmpty():
             break
-        jumps.append(pending)
-    reach = reach.where("up IS NULL")
+        jumps.append(pending.select("message", "up"))
+    reach = reduce(DataFrame.unionByName, arrived)
     parents = nodes.where("parent IS NOT NULL").select(F.col("parent").alias("message")).distinct()
     order = Window.partitionBy("top").orderBy(F.desc("total"), "message")
     leaves = reach.join(parents, "message", "left_anti").withColumn("path_rank", F.row_number().over(order))
@@ -149,27 +152,17 @@ def format_paths(messages: DataFrame, best: int = 1) -> DataFrame:
     return whole.mapInArrow(each, f"tree {kind}, path_rank int, formatted string, spans array<array<long>>")
 
 
-def _digest(text: str) -> str:
-    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
-
-
 def digests(formatted: DataFrame) -> DataFrame:
     """(tree, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from format_paths()."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["tree", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        for batch in batches:
-            rows = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                turns = parse(text)
-                learnt = "".join(unescaped(text[a:b]) for a, b in spans)
-                whole = "".join(f"{role}\n{said}\n" for role, said in turns)
-                rows.append((len(turns), _digest(whole), len(learnt), _digest(learnt), len(text)))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=names)
-
-    kind = formatted.schema["tree"].dataType.simpleString()
-    schema = f"tree {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return formatted.select("tree", "formatted", "spans").mapInArrow(each, schema)
+    text = F.col("formatted")
+    under = lambda span: unescaped(F.substring(text, (span[0] + 1).cast("int"), (span[1] - span[0]).cast("int")))
+    read = formatted.select("tree", text, parsed(text).alias("turns"), F.array_join(F.transform("spans", under), "").alias("learnt"))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "tree",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(whole, 256).alias("turns_sha256"),
+        F.length("learnt").cast("long").alias("loss_chars"),
+        F.sha2("learnt", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
