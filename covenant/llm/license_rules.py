@@ -1,7 +1,7 @@
 """The signatures of the license scan. They match normalised text: lower case, words parted by one blank, no punctuation.
 
-A license is named by (label, keyword, name): the name is a hand-written pattern, the keyword a string that every match
-of it contains. Each name gives three rules: its SPDX tag, a notice that puts a work under it, and a mere mention.
+A license is named by (label, keywords, name): the name is a hand-written pattern, and every match of it has one of the
+keywords, parted by bars, at the start of a word. Each name gives three rules: its SPDX tag, a notice that puts a work under it, and a mere mention.
 TEXTS are passages of license texts and notices that name no license or do not put it so.
 """
 
@@ -12,7 +12,7 @@ from typing import NamedTuple
 
 class Rule(NamedTuple):
     label: str
-    keyword: str
+    keywords: tuple[str, ...]
     pattern: str
     priority: int
     score: float
@@ -30,79 +30,79 @@ NAMES = [
     ("apache-1.0", "apache", f"apache(?: software)?(?: {_L})?{_V}1 0"),
     ("apache-1.1", "apache", f"apache(?: software)?(?: {_L})?{_V}1 1"),
     ("apache-2.0", "apache", f"apache(?: software)?(?: {_L})?{_V}2(?: 0)?"),
-    ("mit", "mit", f"mit(?: open source)? {_L}"),
-    ("mit-0", "mit", f"mit(?: no attribution| 0)(?: {_L})?"),
+    ("mit", "mit licen|mit open source", f"mit(?: open source)? {_L}"),
+    ("mit-0", "mit no attribution|mit 0", f"mit(?: no attribution| 0)(?: {_L})?"),
     ("x11", "x11", f"x11 {_L}"),
     ("expat", "expat", f"expat {_L}"),
-    ("isc", "isc", f"(?:isc|internet systems consortium) {_L}"),
+    ("isc", "isc|internet systems", f"(?:isc|internet systems consortium) {_L}"),
     ("bsd", "bsd", f"bsd(?: style)? {_L}"),
-    ("0bsd", "bsd", f"(?:0bsd|zero clause bsd|bsd zero clause|bsd 0 clause)(?: {_L})?"),
-    ("bsd-2-clause", "bsd", f"(?:(?:simplified|freebsd|2 clause|two clause) bsd|bsd 2 clause|bsd two clause)(?: simplified)?(?: {_L})?"),
+    ("0bsd", "0bsd|zero clause|bsd", f"(?:0bsd|zero clause bsd|bsd zero clause|bsd 0 clause)(?: {_L})?"),
+    ("bsd-2-clause", "bsd|simplified|freebsd", f"(?:(?:simplified|freebsd|2 clause|two clause) bsd|bsd 2 clause|bsd two clause)(?: simplified)?(?: {_L})?"),
     ("bsd-3-clause", "bsd", f"(?:(?:new|modified|revised|3 clause|three clause) bsd|bsd 3 clause|bsd three clause)(?: new| revised)?(?: {_L})?"),
     ("bsd-4-clause", "bsd", f"(?:(?:original|old|4 clause|four clause) bsd|bsd 4 clause|bsd four clause)(?: original)?(?: {_L})?"),
-    ("gpl-1.0", "p", f"{_GPL}{_V}1(?: 0)?(?: only| or later)?"),
-    ("gpl-2.0", "p", f"{_GPL}{_V}2(?: 0)?(?: only| or later)?"),
-    ("gpl-3.0", "p", f"{_GPL}{_V}3(?: 0)?(?: only| or later)?"),
-    ("lgpl-2.0", "l", f"{_LGPL}{_V}2(?: 0)?(?: only| or later)?"),
-    ("lgpl-2.1", "l", f"{_LGPL}{_V}2 1(?: only| or later)?"),
-    ("lgpl-3.0", "l", f"{_LGPL}{_V}3(?: 0)?(?: only| or later)?"),
-    ("agpl-3.0", "a", f"{_AGPL}{_V}3(?: 0)?(?: only| or later)?"),
-    ("gfdl-1.1", "f", f"(?:gnu )?(?:free documentation {_L}|gfdl|fdl){_V}1 1(?: or later)?"),
-    ("gfdl-1.2", "f", f"(?:gnu )?(?:free documentation {_L}|gfdl|fdl){_V}1 2(?: or later)?"),
-    ("gfdl-1.3", "f", f"(?:gnu )?(?:free documentation {_L}|gfdl|fdl){_V}1 3(?: or later)?"),
-    ("mpl-1.0", "m", f"(?:mozilla public {_L}|mpl){_V}1 0"),
-    ("mpl-1.1", "m", f"(?:mozilla public {_L}|mpl){_V}1 1"),
-    ("mpl-2.0", "m", f"(?:mozilla public {_L}|mpl){_V}2(?: 0)?"),
+    ("gpl-1.0", "general public|gnu g|gpl", f"{_GPL}{_V}1(?: 0)?(?: only| or later)?"),
+    ("gpl-2.0", "general public|gnu g|gpl", f"{_GPL}{_V}2(?: 0)?(?: only| or later)?"),
+    ("gpl-3.0", "general public|gnu g|gpl", f"{_GPL}{_V}3(?: 0)?(?: only| or later)?"),
+    ("lgpl-2.0", "lesser general|library general|lgpl", f"{_LGPL}{_V}2(?: 0)?(?: only| or later)?"),
+    ("lgpl-2.1", "lesser general|library general|lgpl", f"{_LGPL}{_V}2 1(?: only| or later)?"),
+    ("lgpl-3.0", "lesser general|library general|lgpl", f"{_LGPL}{_V}3(?: 0)?(?: only| or later)?"),
+    ("agpl-3.0", "affero|agpl", f"{_AGPL}{_V}3(?: 0)?(?: only| or later)?"),
+    ("gfdl-1.1", "free documentation|gfdl|fdl", f"(?:gnu )?(?:free documentation {_L}|gfdl|fdl){_V}1 1(?: or later)?"),
+    ("gfdl-1.2", "free documentation|gfdl|fdl", f"(?:gnu )?(?:free documentation {_L}|gfdl|fdl){_V}1 2(?: or later)?"),
+    ("gfdl-1.3", "free documentation|gfdl|fdl", f"(?:gnu )?(?:free documentation {_L}|gfdl|fdl){_V}1 3(?: or later)?"),
+    ("mpl-1.0", "mozilla public|mpl", f"(?:mozilla public {_L}|mpl){_V}1 0"),
+    ("mpl-1.1", "mozilla public|mpl", f"(?:mozilla public {_L}|mpl){_V}1 1"),
+    ("mpl-2.0", "mozilla public|mpl", f"(?:mozilla public {_L}|mpl){_V}2(?: 0)?"),
     ("npl-1.1", "netscape", f"netscape public {_L}{_V}1(?: 0| 1)"),
-    ("epl-1.0", "e", f"(?:eclipse public {_L}|epl){_V}1(?: 0)?"),
-    ("epl-2.0", "e", f"(?:eclipse public {_L}|epl){_V}2(?: 0)?"),
+    ("epl-1.0", "eclipse public|epl", f"(?:eclipse public {_L}|epl){_V}1(?: 0)?"),
+    ("epl-2.0", "eclipse public|epl", f"(?:eclipse public {_L}|epl){_V}2(?: 0)?"),
     ("cpl-1.0", "common public", f"common public {_L}{_V}1(?: 0)?"),
     ("ipl-1.0", "ibm", f"ibm public {_L}{_V}1(?: 0)?"),
-    ("cddl-1.0", "d", f"(?:common development and distribution {_L}|cddl){_V}1(?: 0)?"),
-    ("cddl-1.1", "d", f"(?:common development and distribution {_L}|cddl){_V}1 1"),
-    ("eupl-1.1", "eu", f"(?:european union public {_L}|eupl){_V}1 1"),
-    ("eupl-1.2", "eu", f"(?:european union public {_L}|eupl){_V}1 2"),
+    ("cddl-1.0", "common development|cddl", f"(?:common development and distribution {_L}|cddl){_V}1(?: 0)?"),
+    ("cddl-1.1", "common development|cddl", f"(?:common development and distribution {_L}|cddl){_V}1 1"),
+    ("eupl-1.1", "european union public|eupl", f"(?:european union public {_L}|eupl){_V}1 1"),
+    ("eupl-1.2", "european union public|eupl", f"(?:european union public {_L}|eupl){_V}1 2"),
     ("cecill-2.1", "cecill", f"cecill(?: b| c)?(?: {_L})?(?:{_V}2(?: 0| 1)?)?"),
     ("cc0-1.0", "cc0", f"cc0(?: {_V}1 0)?(?: universal)?"),
-    ("cc-by-3.0", "c", f"{_CC} (?:by|attribution){_V}3 0(?: unported)?"),
-    ("cc-by-4.0", "c", f"{_CC} (?:by|attribution){_V}4 0(?: international)?"),
-    ("cc-by-sa-3.0", "c", f"{_CC} (?:by sa|attribution share ?alike){_V}3 0(?: unported)?"),
-    ("cc-by-sa-4.0", "c", f"{_CC} (?:by sa|attribution share ?alike){_V}4 0(?: international)?"),
-    ("cc-by-nd-4.0", "c", f"{_CC} (?:by nd|attribution no ?derivatives|attribution noderivs){_V}4 0(?: international)?"),
-    ("cc-by-nc-3.0", "c", f"{_CC} (?:by nc|attribution non ?commercial){_V}3 0(?: unported)?"),
-    ("cc-by-nc-4.0", "c", f"{_CC} (?:by nc|attribution non ?commercial){_V}4 0(?: international)?"),
-    ("cc-by-nc-sa-3.0", "c", f"{_CC} (?:by nc sa|attribution non ?commercial share ?alike){_V}3 0(?: unported)?"),
-    ("cc-by-nc-sa-4.0", "c", f"{_CC} (?:by nc sa|attribution non ?commercial share ?alike){_V}4 0(?: international)?"),
-    ("cc-by-nc-nd-4.0", "c", f"{_CC} (?:by nc nd|attribution non ?commercial no ?derivatives){_V}4 0(?: international)?"),
+    ("cc-by-3.0", "creative commons|cc", f"{_CC} (?:by|attribution){_V}3 0(?: unported)?"),
+    ("cc-by-4.0", "creative commons|cc", f"{_CC} (?:by|attribution){_V}4 0(?: international)?"),
+    ("cc-by-sa-3.0", "creative commons|cc", f"{_CC} (?:by sa|attribution share ?alike){_V}3 0(?: unported)?"),
+    ("cc-by-sa-4.0", "creative commons|cc", f"{_CC} (?:by sa|attribution share ?alike){_V}4 0(?: international)?"),
+    ("cc-by-nd-4.0", "creative commons|cc", f"{_CC} (?:by nd|attribution no ?derivatives|attribution noderivs){_V}4 0(?: international)?"),
+    ("cc-by-nc-3.0", "creative commons|cc", f"{_CC} (?:by nc|attribution non ?commercial){_V}3 0(?: unported)?"),
+    ("cc-by-nc-4.0", "creative commons|cc", f"{_CC} (?:by nc|attribution non ?commercial){_V}4 0(?: international)?"),
+    ("cc-by-nc-sa-3.0", "creative commons|cc", f"{_CC} (?:by nc sa|attribution non ?commercial share ?alike){_V}3 0(?: unported)?"),
+    ("cc-by-nc-sa-4.0", "creative commons|cc", f"{_CC} (?:by nc sa|attribution non ?commercial share ?alike){_V}4 0(?: international)?"),
+    ("cc-by-nc-nd-4.0", "creative commons|cc", f"{_CC} (?:by nc nd|attribution non ?commercial no ?derivatives){_V}4 0(?: international)?"),
     ("unlicense", "unlicense", "(?:the )?unlicense"),
-    ("wtfpl", "f", f"(?:wtfpl|do what the fuck you want to public {_L})(?:{_V}2(?: 0)?)?"),
+    ("wtfpl", "wtfpl|do what the", f"(?:wtfpl|do what the fuck you want to public {_L})(?:{_V}2(?: 0)?)?"),
     ("zlib", "zlib", f"zlib(?: libpng)? {_L}"),
     ("libpng", "libpng", f"libpng(?: reference library)? {_L}"),
     ("bsl-1.0", "boost", f"boost(?: software)? {_L}(?:{_V}1(?: 0)?)?"),
     ("artistic-1.0", "artistic", f"artistic {_L}{_V}1(?: 0)?"),
     ("artistic-2.0", "artistic", f"artistic {_L}{_V}2(?: 0)?"),
-    ("psf-2.0", "python", f"(?:python software foundation|psf|python) {_L}(?:{_V}2(?: 0)?)?"),
+    ("psf-2.0", "python|psf", f"(?:python software foundation|psf|python) {_L}(?:{_V}2(?: 0)?)?"),
     ("ruby", "ruby", f"ruby {_L}"),
     ("php-3.01", "php", f"php {_L}(?:{_V}3 0?1)?"),
     ("openssl", "openssl", f"openssl {_L}"),
     ("postgresql", "postgresql", f"postgresql {_L}"),
-    ("ofl-1.1", "o", f"(?:sil )?(?:open font {_L}|ofl){_V}1 1"),
-    ("odbl-1.0", "o", f"(?:open database {_L}|odbl)(?:{_V}1 0)?"),
+    ("ofl-1.1", "open font|ofl", f"(?:sil )?(?:open font {_L}|ofl){_V}1 1"),
+    ("odbl-1.0", "open database|odbl", f"(?:open database {_L}|odbl)(?:{_V}1 0)?"),
     ("odc-by-1.0", "open data commons", f"open data commons attribution {_L}(?:{_V}1 0)?"),
-    ("pddl-1.0", "p", f"(?:public domain dedication and {_L}|pddl)(?:{_V}1 0)?"),
+    ("pddl-1.0", "public domain dedication|pddl", f"(?:public domain dedication and {_L}|pddl)(?:{_V}1 0)?"),
     ("ncsa", "ncsa", f"(?:university of illinois )?ncsa(?: open source)? {_L}"),
-    ("qpl-1.0", "q", f"(?:q public {_L}|qpl)(?:{_V}1 0)?"),
+    ("qpl-1.0", "q public|qpl", f"(?:q public {_L}|qpl)(?:{_V}1 0)?"),
     ("sleepycat", "sleepycat", f"sleepycat {_L}"),
     ("vim", "vim", f"vim {_L}"),
     ("w3c", "w3c", f"w3c(?: software)?(?: notice and)? {_L}"),
-    ("zpl-2.1", "z", f"(?:zope public {_L}|zpl)(?:{_V}2 [01])?"),
-    ("afl-3.0", "a", f"(?:academic free {_L}|afl){_V}3(?: 0)?"),
-    ("osl-3.0", "o", f"(?:open software {_L}|osl){_V}3(?: 0)?"),
+    ("zpl-2.1", "zope|zpl", f"(?:zope public {_L}|zpl)(?:{_V}2 [01])?"),
+    ("afl-3.0", "academic free|afl", f"(?:academic free {_L}|afl){_V}3(?: 0)?"),
+    ("osl-3.0", "open software|osl", f"(?:open software {_L}|osl){_V}3(?: 0)?"),
     ("apsl-2.0", "apple", f"apple public source {_L}(?:{_V}2(?: 0)?)?"),
     ("ecl-2.0", "educational", f"educational community {_L}(?:{_V}2(?: 0)?)?"),
-    ("lppl-1.3c", "l", f"(?:latex project public {_L}|lppl)(?:{_V}1 3c?)?"),
-    ("ms-pl", "m", f"(?:microsoft public {_L}|ms pl)"),
-    ("ms-rl", "m", f"(?:microsoft reciprocal {_L}|ms rl)"),
+    ("lppl-1.3c", "latex project|lppl", f"(?:latex project public {_L}|lppl)(?:{_V}1 3c?)?"),
+    ("ms-pl", "microsoft public|ms pl", f"(?:microsoft public {_L}|ms pl)"),
+    ("ms-rl", "microsoft reciprocal|ms rl", f"(?:microsoft reciprocal {_L}|ms rl)"),
     ("nasa-1.3", "nasa", f"nasa open source agreement(?:{_V}1 3)?"),
     ("beerware", "beer", f"beer ?ware {_L}"),
     ("json", "json", f"json {_L}"),
@@ -112,19 +112,19 @@ NAMES = [
     ("tcl", "tcl", f"tcl(?: tk)? {_L}"),
     ("bzip2", "bzip2", f"bzip2(?: and libbzip2)? {_L}"),
     ("ftl", "freetype", f"freetype(?: project)? {_L}"),
-    ("ijg", "jpeg", f"independent jpeg group(?: s)? {_L}"),
+    ("ijg", "independent jpeg", f"independent jpeg group(?: s)? {_L}"),
     ("imlib2", "imlib2", f"imlib2 {_L}"),
     ("intel", "intel", f"intel open source {_L}"),
     ("mulanpsl-2.0", "mulan", f"mulan(?: permissive software {_L}| psl)(?:{_V}2(?: 0)?)?"),
     ("blueoak-1.0.0", "blue oak", f"blue oak model {_L}(?:{_V}1 0 0)?"),
     ("upl-1.0", "universal permissive", f"universal permissive {_L}(?:{_V}1(?: 0)?)?"),
-    ("sspl-1.0", "s", f"(?:server side public {_L}|sspl)(?:{_V}1(?: 0)?)?"),
+    ("sspl-1.0", "server side public|sspl", f"(?:server side public {_L}|sspl)(?:{_V}1(?: 0)?)?"),
     ("busl-1.1", "business source", f"business source {_L}(?:{_V}1 1)?"),
     ("elastic-2.0", "elastic", f"elastic {_L}(?:{_V}2(?: 0)?)?"),
     ("commons-clause", "commons clause", f"commons clause(?: {_L})?(?: condition)?"),
     ("polyform-nc-1.0", "polyform", f"polyform non ?commercial {_L}(?:{_V}1 0 0)?"),
     ("hpnd", "historical permission", "historical permission notice and disclaimer"),
-    ("eudatagrid", "datagrid", f"eu ?datagrid(?: software)? {_L}"),
+    ("eudatagrid", "eudatagrid|eu datagrid|datagrid", f"eu ?datagrid(?: software)? {_L}"),
     ("lucent-1.02", "lucent", f"lucent public {_L}(?:{_V}1 0?2)?"),
     ("naumen", "naumen", f"naumen public {_L}"),
     ("nokia", "nokia", f"nokia open source {_L}"),
@@ -134,7 +134,7 @@ NAMES = [
     ("spl-1.0", "sun public", f"sun public {_L}(?:{_V}1 0)?"),
     ("watcom-1.0", "watcom", f"sybase open watcom public {_L}(?:{_V}1 0)?"),
     ("xnet", "x net", f"x net {_L}"),
-    ("openrail-m", "rail", f"(?:creativeml |bigscience |big code )?open ?rail(?: m)?(?: {_L})?"),
+    ("openrail-m", "openrail|open rail|creativeml|bigscience|big code", f"(?:creativeml |bigscience |big code )?open ?rail(?: m)?(?: {_L})?"),
 ]
 
 TEXTS = [
@@ -149,13 +149,13 @@ TEXTS = [
     ("bsd-4-clause", "advertising materials", "all advertising materials mentioning features or use of this software must display"),
     ("apache-2.0", "compliance with the license", "you may not use this file except in compliance with the license"),
     ("apache-2.0", "www apache org", f"www apache org {_L}s {_L} 2 0"),
-    ("apache", "apache", f"apache(?: software)? {_L}"),
+    ("apache", "apache licen|apache software", f"apache(?: software)? {_L}"),
     ("gpl", "free software you can redistribute", "this (?:program|library|file|software) is free software you can redistribute it and or modify it"),
     ("gpl", "free software foundation", "as published by the free software foundation"),
     ("gpl", "useful but without any warranty", "in the hope that it will be useful but without any warranty"),
     ("gpl", "general public", f"(?:gnu )?general public {_L}"),
     ("gpl", "gpl", f"(?:gnu )?gpl(?: {_L})?"),
-    ("lgpl", "general public", f"(?:gnu )?(?:lesser|library) general public {_L}"),
+    ("lgpl", "lesser general|library general", f"(?:gnu )?(?:lesser|library) general public {_L}"),
     ("lgpl", "lgpl", f"(?:gnu )?lgpl(?: {_L})?"),
     ("agpl", "affero", f"(?:gnu )?affero general public {_L}"),
     ("mpl-2.0", "mozilla", f"subject to the terms of the mozilla public {_L}"),
@@ -163,7 +163,7 @@ TEXTS = [
     ("epl", "eclipse public", f"eclipse public {_L}"),
     ("cc", "creative commons", f"creative commons(?: [a-z]+){{0,4}} {_L}"),
     ("cc0-1.0", "waived all copyright", "has waived all copyright and related or neighboring rights"),
-    ("cc0-1.0", "dedicated", "dedicated to the public domain(?: under cc0)?"),
+    ("cc0-1.0", "dedicated to the public", "dedicated to the public domain(?: under cc0)?"),
     ("unlicense", "released into the public domain", "free and unencumbered software released into the public domain"),
     ("public-domain", "public domain", "(?:is|placed|released|are) (?:in|into) the public domain"),
     ("zlib", "misrepresented", "the origin of this software must not be misrepresented"),
@@ -173,30 +173,26 @@ TEXTS = [
     ("beerware", "buy me a beer", "you can buy me a beer in return"),
     ("wtfpl", "you just do what", "you just do what the fuck you want to"),
     ("no-warranty", "without warranty of any kind", "without warranty of any kind express or implied"),
-    ("no-warranty", "warranties", "(?:implied )?warranties of merchantability(?: and)? fitness for a particular purpose"),
-    ("proprietary", "proprietary", "(?:proprietary and confidential|confidential and proprietary)"),
+    ("no-warranty", "warranties of merchantability", "(?:implied )?warranties of merchantability(?: and)? fitness for a particular purpose"),
+    ("proprietary", "proprietary and|confidential and", "(?:proprietary and confidential|confidential and proprietary)"),
     ("proprietary", "prior written", "may not be (?:copied|reproduced|distributed)(?: [a-z]+){0,6} without(?: the)?(?: express)? prior written (?:permission|consent)"),
     ("all-rights-reserved", "rights reserved", "all rights reserved"),
     ("commercial", "end user", f"end user {_L} agreement"),
-    ("dual", "dual", "dual licensed(?: under)?"),
+    ("dual", "dual licensed", "dual licensed(?: under)?"),
 ]
 
-#: Strings of which every match of every rule contains one: texts without any are not looked at further.
-STEMS = ["licen", "spdx", "gpl", "public domain", "permission", "redistribut", "software", "warrant", "rights", "cc", "creative commons", "proprietary", "bsd", "mpl", "epl", "cddl", "eupl", "mit 0", "unlicense", "wtf", "ofl", "odbl", "pddl", "qpl", "zpl", "afl", "osl", "lppl", "ms pl", "ms rl", "apache", "rail", "fdl", "mulan", "nasa", "commons clause", "cecill", "historical permission", "mit no", "unicode terms", "sspl", "beer", "without"]
-
 _NOTICE = "(?:licensed|released|distributed|available|provided|published|covered|offered|shared|made available|redistributed)"
 _UNDER = f"{_NOTICE}(?: [a-z]+){{0,2}} (?:under|by|subject to)(?: the)?(?: terms(?: and conditions)? of)?(?: the)?"
 
-BASE = [
-    Rule("mit", "mit license", "mit license", 3, 0.8, True),
-    Rule("apache", "apache license", "apache license", 3, 0.8, True),
-    Rule("gpl", "general public license", "general public license", 3, 0.8, True),
-]
+BASE = [("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license")]
 
-RULES = [
-    *BASE,
-    *(Rule(label, "spdx", f"spdx {_L} identifier {label.replace('-', ' ').replace('.', ' ')}", 3, 1.0, False) for label, _, _ in NAMES),
-    *(Rule(label, keyword, f"{_UNDER} {name}", 2, 0.9, False) for label, keyword, name in NAMES),
-    *(Rule(label, keyword, name, 1, 0.6, False) for label, keyword, name in NAMES),
-    *(Rule(label, keyword, passage, 1 if len(passage) < 50 else 2, 0.5 if len(passage) < 50 else 0.8, False) for label, keyword, passage in TEXTS),
+_ALL = [
+    *((label, phrase, phrase, 3, 0.8, True) for label, phrase in BASE),
+    *((label, "spdx", f"spdx {_L} identifier {label.replace('-', ' ').replace('.', ' ')}", 3, 1.0, False) for label, _, _ in NAMES),
+    *((label, keywords, f"{_UNDER} {name}", 2, 0.9, False) for label, keywords, name in NAMES),
+    *((label, keywords, name, 1, 0.6, False) for label, keywords, name in NAMES),
+    *((label, keywords, passage, *((1, 0.5) if len(passage) < 50 else (2, 0.8)), False) for label, keywords, passage in TEXTS),
 ]
+
+#: The rules in order. Base rules are those whose detections always stay.
+RULES = [Rule(label, tuple(keywords.split("|")), pattern, priority, score, base) for label, keywords, pattern, priority, score, base in _ALL]

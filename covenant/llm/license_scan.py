@@ -1,8 +1,8 @@
 """License scan with DataFrame functions only: ordered signature rules, a keyword prefilter, and interval suppression.
 
 Texts are lower-cased (A-Z), words are what ASCII letters, digits and characters beyond ASCII make up, and everything
-between words becomes one blank. A text without any stem is done; of the rules (license_rules.py) those are tried whose
-keyword it contains. A match is marked in the text by two control characters, which no normalised text has, so that
+between words becomes one blank. One pattern over all keywords sees off the texts without any; in the others, the rules
+(license_rules.py) are tried of whose keywords one begins a word. A match is marked in the text by two control characters, which no normalised text has, so that
 splitting at blanks gives the word interval of every match in one pass.
 
 A detection is suppressed if its interval lies in that of another one of the same or a higher priority; of equal
@@ -13,21 +13,25 @@ Texts are scanned once and not shuffled; what is shuffled are the detections, sp
 
 from __future__ import annotations
 
-from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from covenant.llm.common import lowered, settled
-from covenant.llm.license_rules import RULES, STEMS
+from covenant.llm.common import settled
+from covenant.llm.license_rules import RULES
 
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _OPEN, _CLOSE = "\x01", "\x02"
+_KEYWORDS = sorted({keyword for rule in RULES for keyword in rule.keywords})
+#: Any keyword at the start of a word, with first letters taken out so that most words fail at their first letter.
+_ANY = " (?:" + "|".join(f"{first}(?:{'|'.join(k[1:] for k in some)})" for first, some in groupby(_KEYWORDS, lambda k: k[0])) + ")"
 _HIT = "array<struct<rule: int, first: int, last: int>>"
 
 
 def normalised(text: Column) -> Column:
-    return F.trim(F.regexp_replace(lowered(F.coalesce(text, F.lit(""))), _BETWEEN, " "))
+    # lower() also touches letters beyond ASCII, but makes no blank of a letter, and no letter of a base phrase
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _BETWEEN, " "))
 
 
 def _intervals(padded: Column, pattern: Column) -> Column:
@@ -43,17 +47,22 @@ def _intervals(padded: Column, pattern: Column) -> Column:
 
 def _hits(text: Column) -> Column:
     """All matches of all rules in a normalised text."""
-    rules = F.array(*(F.struct(F.lit(i).alias("rule"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern")) for i, r in enumerate(RULES)))
     padded = F.concat(F.lit(" "), text, F.lit(" "))
-    tried = F.filter(rules, lambda r: F.contains(text, r["keyword"]) & F.call_function("rlike", padded, F.concat(F.lit(" (?:"), r["pattern"], F.lit(") "))))
+    words = lambda keywords: F.array(*(F.lit(f" {k}") for k in keywords))
+    rules = F.array(
+        *(F.struct(F.lit(i).alias("rule"), words(r.keywords).alias("keywords"), F.lit(r.pattern).alias("pattern")) for i, r in enumerate(RULES))
+    )
+    there = F.filter(words(_KEYWORDS), lambda k: F.contains(padded, k))
+    # held in an array of one, so that it is made once and not for every rule
+    gated = F.flatten(F.transform(F.array(there), lambda some: F.filter(rules, lambda r: F.arrays_overlap(r["keywords"], some))))
+    tried = F.filter(gated, lambda r: F.call_function("rlike", padded, F.concat(F.lit(" (?:"), r["pattern"], F.lit(") "))))
     found = F.flatten(
         F.transform(
             tried,
             lambda r: F.transform(_intervals(padded, r["pattern"]), lambda m: F.struct(r["rule"].alias("rule"), m["first"].alias("first"), m["last"].alias("last"))),
         )
     )
-    stems = reduce(lambda a, b: a | b, (F.contains(text, F.lit(stem)) for stem in STEMS))
-    return F.when(stems, found).otherwise(F.array().cast(_HIT)).cast(_HIT)
+    return F.when(padded.rlike(_ANY), found).otherwise(F.array().cast(_HIT)).cast(_HIT)
 
 
 def detections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
