@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 #: What separates words in a text, as a class for regular expressions.
 BLANKS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,11 +54,6 @@ def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def lowered(text: Column) -> Column:
-    """A-Z to lower case, all else as it is."""
-    return F.translate(text, _UPPER, _LOWER)
-
-
 def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD))
 

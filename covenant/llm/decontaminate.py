@@ -1,6 +1,6 @@
 """Benchmark decontamination with DataFrame functions only: SimHash of item-sized windows, verified exactly.
 
-Words are what stands between blanks, A-Z lowered. A document is contaminated by an item if one of its windows of as
+Words are what stands between blanks, in lower case. A document is contaminated by an item if one of its windows of as
 many words as the item (the whole document, if it is shorter) has a weighted Jaccard similarity of SIMILARITY or more
 to the item over five-word shingles, repeats counted; a text of fewer words is one shingle.
 
@@ -20,10 +20,12 @@ than three deviations away, and equal texts differ in no bit.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covenant.llm.common import BLANKS, broadcast_up_to, lowered, settled
+from covenant.llm.common import BLANKS, broadcast_up_to, settled
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -36,18 +38,18 @@ _MASK = 1 | 1 << _LANES | 1 << 2 * _LANES
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(lowered(F.coalesce(text, F.lit(""))), f"{BLANKS}+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), f"{BLANKS}+"), lambda w: w != "")
 
 
-def _starts(words: Column) -> Column:
+def _starts(words: Column, gram: int = SHINGLE) -> Column:
     """The places where shingles start: one at least for any word, none without."""
-    last = F.greatest(F.size(words) - SHINGLE, F.lit(0))
+    last = F.greatest(F.size(words) - gram, F.lit(0))
     return F.when(F.size(words) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
-def _hashes(words: Column) -> Column:
+def _hashes(words: Column, gram: int = SHINGLE) -> Column:
     """A hash for each shingle of words; get() gives null beyond the end, which the hash skips."""
-    return F.transform(_starts(words), lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(SHINGLE))))
+    return F.transform(_starts(words, gram), lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(gram))))
 
 
 def _texts(words: Column) -> Column:
@@ -83,12 +85,14 @@ def _blocks(fp: Column) -> Column:
 
 def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc, start, size, window): the windows that can be similar to an item. window: its words, joined by blanks."""
-    shingles = items.select("item", "size", "n_shingles", F.explode(F.array_distinct("hashes")).alias("hash"))
-    distinct = broadcast_up_to(settled(shingles.select("hash").distinct()), MOST_BROADCAST)
-    parted = docs.select("doc", F.posexplode(_hashes(F.col("words"))).alias("at", "hash"))
-    hits = settled(parted.join(distinct, "hash", "left_semi"))
+    gram = F.least("size", F.lit(SHINGLE)).alias("gram")  # a shorter item is one shingle of its own length
+    shingles = items.select("item", "size", "n_shingles", gram, F.explode(F.array_distinct("hashes")).alias("hash"))
+    distinct = broadcast_up_to(settled(shingles.select("gram", "hash").distinct()), MOST_BROADCAST)
+    grams = sorted(r["gram"] for r in distinct.select("gram").distinct().collect()) or [SHINGLE]  # five values at most
+    parted = [docs.select("doc", F.lit(n).alias("gram"), F.posexplode(_hashes(F.col("words"), n)).alias("at", "hash")) for n in grams]
+    hits = settled(reduce(DataFrame.unionAll, parted).join(distinct, ["gram", "hash"], "left_semi"))
     # One list of anchors for each document and item. Its length is bounded by the document's.
-    of_item = hits.join(broadcast_up_to(settled(shingles), MOST_BROADCAST), "hash")
+    of_item = hits.join(broadcast_up_to(settled(shingles), MOST_BROADCAST), ["gram", "hash"])
     anchors = of_item.groupBy("doc", "size", "n_shingles", "item").agg(F.array_sort(F.collect_set("at")).alias("at"))
     held = docs.withColumn("n", F.size("words"))
     wanted = broadcast_up_to(settled(anchors.select("doc").distinct()), MOST_BROADCAST)
@@ -109,7 +113,7 @@ def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, similarity, start, n_windows): for every document and item with a similar window, the best one.
 
-    start: the first word, from 0, of the first of the most similar windows. Null and empty texts and items have no
+    start: the first word, from 0, of the first of the most similar windows, which start at shared shingles. Null and empty texts and items have no
     shingle and are similar to nothing. Rows of the same id and text are one document. Null ids keep their row. Other
     columns are not read; an empty table on either side gives an empty result.
     """
