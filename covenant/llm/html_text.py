@@ -280,7 +280,7 @@ def main_text(html: str | None, trees: Trees) -> str:
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
-    """pages with the main text of each page in text_col, in place of html_col, and of a text_col they may have.
+    """The columns of pages but html_col and text_col, and the main text of each page as text_col.
 
     Null and empty pages have an empty text. Repeated rows are read each; all other columns are carried along as they
     are. An empty table stays empty. Markup without an end, stray tags and unknown elements are read as far as they go.
@@ -298,6 +298,6 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
             arrays = [*batch.columns[: len(rest)], pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*rest, text_col])
 
-    taken = pages.select(*rest, F.col(html_col).cast("string").alias("html" if html_col not in rest else html_col))
+    taken = pages.select(*rest, F.col(html_col).cast("string"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema[: len(rest)]), f"`{text_col}` string"])
     return taken.mapInArrow(each, schema)
