@@ -115,7 +115,8 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key = ["length", "first_rank", "last_rank"]
     place = F.struct("doc", "start")
     first = runs.groupBy(*key).agg(F.min(place).alias("source"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    copies = runs.join(first, key).where(F.col("source") < place)
+    # settled, so that the join gets both sides straight out of shuffles and the rows of a hot passage can be split
+    copies = runs.join(settled(first), key).where(F.col("source") < place)
     return copies.select("doc", "start", "length", "source")
 
 
