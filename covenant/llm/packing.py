@@ -5,7 +5,7 @@ and place, so that a group comes from about GROUP_BYTES whatever the documents a
 pieces go, longest first, into the first bin with room, which a binary tournament over the bins' free room finds in
 log2(bins) steps. Only lengths are shuffled unless the ids are asked for.
 
-A sequence that is padded has CAPACITY ids; groups of about a thousand bins leave next to nothing of them empty.
+A sequence that is padded has CAPACITY ids; groups of hundreds of bins leave next to nothing of them empty.
 """
 
 from __future__ import annotations
@@ -22,16 +22,16 @@ from pyspark.sql import functions as F
 
 CAPACITY = 4096
 END_ID = 2
-#: About four million tokens, a thousand sequences.
-GROUP_BYTES = 10_000_000
+#: About two million tokens, five hundred sequences.
+GROUP_BYTES = 6_000_000
 #: Groups come from about so many documents at most, where these are very short.
 GROUP_DOCS = 50_000
-#: Different words whose ids a task remembers, and the longest word it remembers.
-_REMEMBERED, _LONGEST = 400_000, 40
+#: So many different words are remembered by a task, and as many again from before; and the longest of them.
+_REMEMBERED, _LONGEST = 120_000, 40
 #: Texts of other characters than these (all of them in normal form C, with one lower case) are encoded as a whole.
 _OTHER = re.compile(r"[^\x20-\x7E\n\t\rÀ-ÖØ-öø-ÿ]|<\|")
 #: How the tokenizer splits lower-case text of such characters, as its file says.
-_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\s0-9a-zß-öø-ÿ]+")
+_SPLIT = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\s0-9a-zß-öø-ÿ]+")
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -46,6 +46,7 @@ class Remembered(dict):
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        self.before: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
         # the alphabet of byte-level models: printable bytes stand for themselves, the others for 256 and on, in order
@@ -53,17 +54,21 @@ class Remembered(dict):
         self.table = {byte: 256 + i for i, byte in enumerate(b for b in range(256) if b not in plain)}
 
     def __missing__(self, word: str) -> bytes:
-        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.table)
-        ids = array("I", [token.id for token in self.merge(spelled)]).tobytes()
+        ids = self.before.get(word) or self._merged(word)
         if len(word) <= _LONGEST:
             self[word] = ids
         return ids
 
+    def _merged(self, word: str) -> bytes:
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.table)
+        return array("I", [token.id for token in self.merge(spelled)]).tobytes()
+
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text, as encoding it whole would give."""
         if _OTHER.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) > _REMEMBERED:
+        if len(self) > _REMEMBERED:  # words that come again are taken over one by one
+            self.before = dict(self)
             self.clear()
         return b"".join(map(self.__getitem__, _SPLIT.findall(text.lower())))
 
