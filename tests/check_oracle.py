@@ -55,9 +55,10 @@ def difference(spark: SparkSession, con: duckdb.DuckDBPyConnection, sf_dir: str,
 
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    names = sys.argv[2:] or list(queries())
+    names = sys.argv[2:] or list(oracle_sql())
     spark = (
         SparkSession.builder.master("local[8]")
+        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
