@@ -13,6 +13,7 @@ Texts are scanned once and not shuffled; what is shuffled are the detections, sp
 
 from __future__ import annotations
 
+import json
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
@@ -75,8 +76,9 @@ def detections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def surviving(found: DataFrame) -> DataFrame:
     """(doc, rule, label, score, base, first, last): the detections of found (doc, hits) that no other one suppresses."""
-    spark = found.sparkSession
-    rules = spark.createDataFrame([(i, r.label, r.priority, r.score, r.base) for i, r in enumerate(RULES)], "rule int, label string, priority int, score double, base boolean")
+    told = [{"rule": i, "label": r.label, "priority": r.priority, "score": r.score, "base": r.base} for i, r in enumerate(RULES)]
+    kind = "array<struct<rule: int, label: string, priority: int, score: double, base: boolean>>"
+    rules = found.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(told)), kind)))
     rows = found.select("doc", F.explode("hits").alias("hit")).select("doc", "hit.*").distinct()
     rows = rows.join(F.broadcast(rules), "rule")  # a constant of a few hundred rows
     order = Window.partitionBy("doc").orderBy("first", F.desc("last"), F.desc("priority"), "rule")
