@@ -2,104 +2,180 @@
 
 A text's score is the sum of log P(word | REACH words on either side) over its words, with A-Z lowered.
 
-* Vocabulary: words are counted over all documents, per batch and then in a shuffle; the FREQUENT most frequent ones
-  have a number of their own, any other one shares one of BUCKETS numbers by a hash.
-* Network: the neighbours' embeddings, by place, add up to a hidden layer, which predicts the class of the word and then
-  the word within its class, two small softmaxes in place of a large one.
+* Vocabulary: a distributed table of all words of all documents. A word with least(total words) occurrences or more has
+  a number of its own; the others share numbers by a hash, as many as the network has left, and each has its share of
+  its number's occurrences: P(word | window) = P(number | window) P(word | number). The network grows with the vocabulary.
+* Texts become numbers block by block: a block's distinct words meet the vocabulary in a shuffled join and go back to
+  their block, so that no task holds the vocabulary and a hot word is one row a block.
+* Network: the neighbours' embeddings, by place, add up to a hidden layer, which predicts the class of the number and
+  then the number within its class, two small softmaxes in place of a large one.
 * Training in numpy over all documents: every partition trains a copy from the same start, with one word in MASKED
   masked in turn, and the copies are averaged by the number of words, weight by weight, in a shuffle. What reaches the
-  driver is one model of fixed size.
+  driver is one model and the words with numbers of their own, at most 4 times the square root of the number of words.
 
-Scoring is a map over rows; memory per task is the model, one Arrow batch and one block of words.
+Scoring is a map over blocks; memory per task is the model and one block of words.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covenant.llm.common import settled
+from covenant.llm.common import settled, stored
 
 REACH = 2
-FREQUENT, BUCKETS, CLASSES = 512, 512, 32
-WORDS = FREQUENT + BUCKETS
-PER_CLASS = WORDS // CLASSES
+#: The smallest network: classes, numbers, and numbers left for words that share one.
+CLASSES = 32
+WORDS = CLASSES * CLASSES
+BUCKETS = 512
 WIDTH, HIDDEN = 16, 32
 MASKED = 16
 BATCH, RATE = 512, 0.05
-_BLOCK = 1 << 16
+#: Words of a block that shares a list of distinct words, and of a piece of it that is read at once.
+_BLOCK, _PIECE = 1 << 21, 1 << 16
 
-#: The model's arrays, one after another in a flat list of floats.
-SHAPES = {
-    "embedding": (WORDS + 1, WIDTH), "places": (2 * REACH, WIDTH, HIDDEN), "bias": (HIDDEN,),
-    "classes": (HIDDEN, CLASSES), "class_bias": (CLASSES,), "words": (CLASSES, HIDDEN, PER_CLASS), "word_bias": (CLASSES, PER_CLASS),
-}
 Model = dict[str, np.ndarray]
 
 
-def _shaped(flat: np.ndarray) -> Model:
+def least(total: int) -> int:
+    """From so many occurrences on, a word has a number of its own."""
+    return max(1, math.isqrt(total) // 4)
+
+
+def size(own: int) -> int:
+    """How many numbers the network has for so many words with one of their own: a square, for classes of one size."""
+    return max(CLASSES, math.isqrt(own + BUCKETS - 1) + 1) ** 2
+
+
+def shapes(words: int) -> dict[str, tuple[int, ...]]:
+    """The model's arrays, one after another in a flat list of floats."""
+    side = math.isqrt(words)
+    return {
+        "embedding": (words + 1, WIDTH), "places": (2 * REACH, WIDTH, HIDDEN), "bias": (HIDDEN,),
+        "classes": (HIDDEN, side), "class_bias": (side,), "words": (side, HIDDEN, side), "word_bias": (side, side),
+    }
+
+
+def _shaped(flat: np.ndarray, words: int = WORDS) -> Model:
     model, at = {}, 0
-    for name, shape in SHAPES.items():
-        size = int(np.prod(shape))
-        model[name] = flat[at : at + size].reshape(shape)
-        at += size
+    for name, shape in shapes(words).items():
+        end = at + int(np.prod(shape))
+        model[name] = flat[at:end].reshape(shape)
+        at = end
     return model
 
 
-def start() -> np.ndarray:
+def start(words: int = WORDS) -> np.ndarray:
     """The weights that every copy starts from."""
     draw = np.random.default_rng(5)
-    return np.concatenate([draw.normal(0, 0.1, int(np.prod(s))).astype(np.float32) for s in SHAPES.values()])
+    return np.concatenate([draw.normal(0, 0.1, int(np.prod(s))).astype(np.float32) for s in shapes(words).values()])
 
 
-class Numbers(dict):
-    """The number of a word: its place in the vocabulary, else a bucket by hash."""
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
 
-    def __missing__(self, word: bytes) -> int:
-        number = FREQUENT + zlib.crc32(word) % BUCKETS
-        if len(self) < 500_000:
-            self[word] = number
-        return number
 
+def _lists(values: pa.Array, edges: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), values)
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
 
+def blocks(docs: DataFrame) -> DataFrame:
+    """(block, ids, lengths, local, words, ns): docs (doc_id, text) in blocks of whole texts.
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all rows of docs (text)."""
+    words and ns are a block's distinct words and their counts, local the places in words of its texts' words.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = count(TaskContext.get().partitionId() << 32)
         for batch in batches:
-            found: Counter[bytes] = Counter()
-            for text in batch.column(0):
-                found.update(_words(text.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
-
-    return docs.mapInArrow(each, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def _batches(batch: pa.RecordBatch, column: int, numbers: Numbers) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(windows, targets, lengths) in blocks of whole texts: the numbers around each word, of the word, words per text."""
-    parts, size = [], 0
-    for row, text in enumerate(batch.column(column)):
-        words = _words(text.as_py())
-        parts.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
-        size += len(words)
-        if size >= _BLOCK or row + 1 == batch.num_rows:
-            pad = np.full(REACH, WORDS, np.int32)
-            flat = np.concatenate([x for part in parts for x in (part, pad)] + [pad])
-            flat = np.concatenate((pad, flat))
-            centres = np.flatnonzero(flat < WORDS)
-            around = [o for o in range(-REACH, REACH + 1) if o]
-            yield np.stack([flat[centres + o] for o in around]), flat[centres], np.array([len(part) for part in parts])
-            parts, size = [], 0
+            first, length, parts, held = 0, [], [], 0
+            seen: defaultdict[bytes, int] = defaultdict(count().__next__)
+            for row, text in enumerate(batch.column(1)):
+                words = _words(text.as_py())
+                parts.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
+                length.append(len(words))
+                held += len(words)
+                if held >= _BLOCK or row + 1 == batch.num_rows:
+                    local = np.concatenate(parts)
+                    one, all_words = np.array([0, len(length)]), np.array([0, len(seen)])
+                    columns = [
+                        pa.array([next(made)]), _lists(batch.column(0)[first : row + 1], one), _lists(pa.array(length, pa.int32()), one),
+                        pa.array([zlib.compress(local.tobytes(), 1)]), _lists(pa.array(list(seen), pa.binary()), all_words),
+                        _lists(pa.array(np.bincount(local, minlength=len(seen)), pa.int64()), all_words),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=["block", "ids", "lengths", "local", "words", "ns"])
+                    first, length, parts, held = row + 1, [], [], 0
+                    seen = defaultdict(count().__next__)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(each, f"block long, ids array<{kind}>, lengths array<int>, local binary, words array<binary>, ns array<long>")
+
+
+def _counts(held: DataFrame) -> DataFrame:
+    each = held.select(F.inline(F.arrays_zip("words", "ns"))).toDF("word", "n")
+    return each.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) over all rows of docs (text)."""
+    return _counts(blocks(docs.select(F.lit(0).alias("doc_id"), "text")))
+
+
+def vocabulary(counts: DataFrame, total: int) -> tuple[DataFrame, int]:
+    """((word, number, share), how many numbers there are): share is log P(word | number). counts: a stored frame."""
+    own = [bytes(r["word"]) for r in counts.where(F.col("n") >= least(total)).orderBy(F.desc("n"), "word").select("word").collect()]
+    words = size(len(own))
+    known = pa.table({"word": pa.array(own, pa.binary()), "own": pa.array(range(len(own)), pa.int32())})
+    known = F.broadcast(counts.sparkSession.createDataFrame(known))
+    shared = (F.crc32("word") % (words - len(own)) + len(own)).cast("int")
+    numbered = counts.join(known, "word", "left").select("word", "n", F.coalesce("own", shared).alias("number"))
+    sums = F.broadcast(numbered.groupBy("number").agg(F.sum("n").alias("all")))  # as many rows as numbers
+    share = F.log(F.col("n").cast("double")) - F.log(F.col("all").cast("double"))
+    return numbered.join(sums, "number").select("word", "number", share.alias("share")), words
+
+
+def numbered(held: DataFrame, words: DataFrame) -> DataFrame:
+    """(ids, lengths, shares, numbers) in pieces of whole texts: the numbers of their words, and per text the sum of shares."""
+
+    def each(block: pa.Table, found: pa.Table) -> pa.Table:
+        number, share = np.zeros(found.num_rows, np.int32), np.zeros(found.num_rows)
+        at = found["place"].to_numpy()
+        number[at], share[at] = found["number"].to_numpy(), found["share"].to_numpy()
+        local = np.frombuffer(zlib.decompress(block["local"][0].as_py()), np.int32)
+        ids, length = block["ids"].chunk(0).flatten(), block["lengths"].chunk(0).flatten().to_numpy()
+        ends, total = np.cumsum(length, dtype=np.int64), np.concatenate(([0.0], np.cumsum(share[local])))
+        numbers = number[local]
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(ends // _PIECE)) + 1, [len(ends)]))
+        places = np.concatenate(([0], ends))[edges]
+        pieces = [zlib.compress(numbers[a:b].tobytes(), 1) for a, b in zip(places, places[1:], strict=False)]
+        columns = [_lists(ids, edges), _lists(pa.array(length, pa.int32()), edges), _lists(pa.array(total[ends] - total[ends - length]), edges), pa.array(pieces, pa.binary())]
+        return pa.Table.from_arrays(columns, names=["ids", "lengths", "shares", "numbers"])
+
+    told = held.select(F.col("block").alias("of"), F.posexplode("words").alias("place", "word")).join(words, "word").select("of", "place", "number", "share")
+    kind = held.schema["ids"].dataType.simpleString()
+    pieces = held.select("block", "ids", "lengths", "local").groupBy("block").cogroup(told.groupBy("of"))
+    return pieces.applyInArrow(each, f"ids {kind}, lengths array<int>, shares array<double>, numbers binary")
+
+
+def _windows(packed: pa.Array, lengths: pa.Array, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(windows, targets) of each piece: the numbers around each word, and of the word. Between texts lies a number of none."""
+    around = [o for o in range(-REACH, REACH + 1) if o]
+    for piece, length in zip(packed, lengths, strict=True):
+        numbers = np.frombuffer(zlib.decompress(piece.as_py()), np.int32)
+        length = length.values.to_numpy()
+        flat = np.full(len(numbers) + REACH * (len(length) + 1), words, np.int32)
+        centres = np.arange(len(numbers)) + REACH * (np.repeat(np.arange(len(length)), length) + 1)
+        flat[centres] = numbers
+        yield np.stack([flat[centres + o] for o in around]), numbers
 
 
 def _softmax(values: np.ndarray) -> np.ndarray:
@@ -109,8 +185,8 @@ def _softmax(values: np.ndarray) -> np.ndarray:
 
 def step(model: Model, squares: Model, windows: np.ndarray, targets: np.ndarray) -> float:
     """One step of Adagrad on a batch; the batch's mean log-probability before it."""
-    n, every = len(targets), np.arange(len(targets))
-    kind, place = targets % CLASSES, targets // CLASSES
+    n, every, side = len(targets), np.arange(len(targets)), len(model["words"])
+    kind, place = targets % side, targets // side
     near = model["embedding"][windows]  # (places, n, width)
     hidden = np.tanh(np.einsum("knw,kwh->nh", near, model["places"]) + model["bias"])
     by_class = _softmax(hidden @ model["classes"] + model["class_bias"])
@@ -122,10 +198,10 @@ def step(model: Model, squares: Model, windows: np.ndarray, targets: np.ndarray)
     off_word[every, place] -= 1
     back = off_class @ model["classes"].T + np.matmul(own, off_word[:, :, None])[:, :, 0]
     back *= 1 - hidden**2
-    slope = {name: np.zeros(shape, np.float32) for name, shape in SHAPES.items()}
+    slope = {name: np.zeros_like(weights) for name, weights in model.items()}
     slope["classes"], slope["class_bias"] = hidden.T @ off_class, off_class.sum(axis=0)
     order = np.argsort(kind, kind="stable")
-    edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+    edges = np.searchsorted(kind[order], np.arange(side + 1))
     for c, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
         if b > a:
             mine = order[a:b]
@@ -148,7 +224,8 @@ def log_chances(model: Model, windows: np.ndarray, targets: np.ndarray) -> np.nd
     for table, numbers in zip(tables[1:], windows[1:], strict=True):
         hidden += table[numbers]
     np.tanh(hidden, out=hidden)
-    kind, place, every = targets % CLASSES, targets // CLASSES, np.arange(len(targets))
+    side = len(model["words"])
+    kind, place, every = targets % side, targets // side, np.arange(len(targets))
     logits = hidden @ model["classes"] + model["class_bias"]
     # hidden lies within -1 and 1: with small weights no exponential overflows, and no maximum needs to be taken out
     most = max(float(np.abs(model["classes"]).sum(axis=0).max()), float(np.abs(model["words"]).sum(axis=1).max()))
@@ -156,7 +233,7 @@ def log_chances(model: Model, windows: np.ndarray, targets: np.ndarray) -> np.nd
     out = logits[every, kind]
     out -= log_total(logits)
     order = np.argsort(kind, kind="stable")
-    edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+    edges = np.searchsorted(kind[order], np.arange(side + 1))
     for c, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
         if b > a:
             mine = order[a:b]
@@ -175,16 +252,15 @@ def _log_small(logits: np.ndarray) -> np.ndarray:
     return np.log(np.exp(logits, out=logits).sum(axis=1))
 
 
-def train(docs: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
-    """The average of what the partitions of docs (text) learn, by their numbers of words."""
+def train(pieces: DataFrame, words: int) -> np.ndarray:
+    """The average of what the partitions of pieces learn, by their numbers of words."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(vocabulary)
-        flat = start()
-        model, squares = _shaped(flat), _shaped(np.full(len(flat), 1e-3, np.float32))
+        flat = start(words)
+        model, squares = _shaped(flat, words), _shaped(np.full(len(flat), 1e-3, np.float32), words)
         seen = turn = 0
         for batch in batches:
-            for windows, targets, _ in _batches(batch, 0, numbers):
+            for windows, targets in _windows(batch.column(1), batch.column(0), words):
                 masked = np.arange(turn, len(targets), MASKED)
                 turn = (turn + 3) % MASKED
                 for at in range(0, len(masked), BATCH):
@@ -194,10 +270,10 @@ def train(docs: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([flat], pa.list_(pa.float32()))], names=["n", "weights"])
 
-    learnt = docs.mapInArrow(each, "n long, weights array<float>").select("n", F.posexplode("weights").alias("place", "weight"))
+    learnt = pieces.select("lengths", "numbers").mapInArrow(each, "n long, weights array<float>").select("n", F.posexplode("weights").alias("place", "weight"))
     mean = learnt.groupBy("place").agg((F.sum(F.col("weight") * F.col("n")) / F.sum("n")).alias("weight"))
-    rows = mean.orderBy("place").collect()  # as many as the model has weights, whatever the input
-    return np.array([r["weight"] for r in rows], np.float32) if rows else start()
+    rows = mean.orderBy("place").collect()  # as many as the model has weights
+    return np.array([r["weight"] for r in rows], np.float32) if rows else start(words)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,24 +282,24 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Null and empty texts have no words, a sum of 0 and a null mean. Repeated rows count and are scored each; other
     columns are not read. An empty table gives an empty result.
     """
-    texts = docs.select(F.col(text_col).alias("text"))
-    common = settled(word_counts(texts).orderBy(F.desc("n"), "word").limit(FREQUENT))
-    vocabulary = {bytes(r["word"]): i for i, r in enumerate(common.orderBy(F.desc("n"), "word").collect())}
-    flat = train(texts, vocabulary)
+    held = stored(blocks(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))))
+    counts = stored(_counts(held))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    known, words = vocabulary(counts, total)
+    pieces = settled(numbered(held, known))
+    flat = train(pieces, words)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, model = Numbers(vocabulary), _shaped(flat)
+        model = _shaped(flat, words)
         for batch in batches:
-            sums, counts = [], []
-            for windows, targets, length in _batches(batch, 1, numbers):
+            sums = [np.zeros(0)]
+            for (windows, targets), length in zip(_windows(batch.column(3), batch.column(1), words), batch.column(1), strict=True):
                 chances = np.concatenate(([0.0], np.cumsum(log_chances(model, windows, targets), dtype=np.float64))) if len(targets) else np.zeros(1)
-                ends = np.cumsum(length)
-                sums.append(chances[ends] - chances[ends - length])
-                counts.append(length)
-            total, n = (np.concatenate(x) if x else np.zeros(0) for x in (sums, counts))
+                ends = np.cumsum(length.values.to_numpy())
+                sums.append(chances[ends] - chances[ends - length.values.to_numpy()])
+            n, total = batch.column(1).flatten().to_numpy(), np.concatenate(sums) + batch.column(2).flatten().to_numpy()
             mean = pa.array(np.where(n > 0, total / np.maximum(n, 1), 0.0), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(total), mean], names=["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).flatten(), pa.array(n.astype(np.int64)), pa.array(total), mean], names=["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
 
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(each, f"doc_id {kind}, n_words long, log_likelihood double, mean_log_likelihood double")
+    kind = pieces.schema["ids"].dataType.elementType.simpleString()
+    return pieces.mapInArrow(each, f"doc_id {kind}, n_words long, log_likelihood double, mean_log_likelihood double")

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 
 from covenant.llm import lm_score as lm
+from covenant.llm.common import stored
 from tests.llm.cases import ODD, odd
 
 
@@ -57,3 +60,36 @@ def test_odd_rows(spark):
         assert (r["mean_log_likelihood"] is None) == (r["n_words"] == 0)
         assert r["log_likelihood"] < 0 or r["n_words"] == 0
     assert lm.score(odd(spark).limit(0)).count() == 0
+
+
+def test_words_that_share_a_number_have_chances_of_their_own(spark):
+    """Chances of all words after one window add up to one, and a rarer word of a shared number has its share of it."""
+    size = lm.size(40)
+    shared: dict[int, list[str]] = {}
+    for i in range(20_000):
+        shared.setdefault(zlib.crc32(f"r{i}".encode()) % (size - 40), []).append(f"r{i}")
+    often, seldom = next(w for w in shared.values() if len(w) > 1)[:2]
+    base = [f"c{i}" for i in range(40)] * 400
+    rows = [(0, " ".join(base)), (1, f"c1 c2 {often} c3"), (2, f"c1 c2 {seldom} c3"), (3, f"{often} " * 8)]
+    got = {r["doc_id"]: r["log_likelihood"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert abs(got[1] - got[2] - np.log(9)) < 1e-3
+
+
+def test_vocabulary_grows_with_the_documents(spark):
+    draw = np.random.default_rng(4)
+    sizes = []
+    for n in (20_000, 400_000):
+        words = draw.zipf(1.3, n)
+        docs = spark.createDataFrame([(" ".join(f"w{w}" for w in part),) for part in np.array_split(words, 50)], "text string")
+        known, numbers = lm.vocabulary(stored(lm.word_counts(docs)), n)
+        rows = known.collect()
+        assert len(rows) == len(set(words.tolist()))
+        total = {}
+        for r in rows:
+            total[r["number"]] = total.get(r["number"], 0) + np.exp(r["share"])
+        assert max(total) < numbers and np.allclose(list(total.values()), 1)
+        often = {f"w{w}".encode() for w, c in Counter(words.tolist()).items() if c >= lm.least(n)}
+        own = [r["number"] for r in rows if bytes(r["word"]) in often]
+        assert sorted(own) == list(range(len(often)))
+        sizes.append(len(own))
+    assert sizes[1] > sizes[0]
