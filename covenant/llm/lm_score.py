@@ -9,9 +9,11 @@ A text's score is the sum of log P(word | REACH words on either side) over its w
   their block, so that no task holds the vocabulary and a hot word is one row a block.
 * Network: the neighbours' embeddings, by place, add up to a hidden layer, which predicts the class of the number and
   then the number within its class, two small softmaxes in place of a large one.
-* Training in numpy over all documents: every partition trains a copy from the same start, with one word in MASKED
-  masked in turn, and the copies are averaged by the number of words, weight by weight, in a shuffle. What reaches the
-  driver is one model and the words with numbers of their own, at most 4 times the square root of the number of words.
+* Training in numpy over all documents, every word predicted once: trainers(total words) copies train on pieces dealt out
+  anew, so that their steps follow the number of words and not how the input is split. A word's turn in MASKED says in
+  which of ROUNDS rounds it is masked; after each, copies and their gradients' squares are averaged by the number of
+  words, in slices, in a shuffle, and all go on from there. What reaches the driver is one model and the words with
+  numbers of their own, at most 4 times the square root of the number of words.
 
 Scoring is a map over blocks; memory per task is the model and one block of words.
 """
@@ -38,10 +40,12 @@ CLASSES = 32
 WORDS = CLASSES * CLASSES
 BUCKETS = 512
 WIDTH, HIDDEN = 16, 32
-MASKED = 16
-BATCH, RATE = 512, 0.05
+MASKED, ROUNDS = 16, 8
+BATCH, RATE = 1024, 0.05
 #: Words of a block that shares a list of distinct words, and of a piece of it that is read at once.
 _BLOCK, _PIECE = 1 << 21, 1 << 16
+#: Weights that are averaged in one row.
+_SLICE = 1 << 14
 
 Model = dict[str, np.ndarray]
 
@@ -56,6 +60,11 @@ def size(own: int) -> int:
     return max(CLASSES, math.isqrt(own + BUCKETS - 1) + 1) ** 2
 
 
+def trainers(total: int) -> int:
+    """How many copies train: with the root of the number of words, so that both copies and the steps of each grow."""
+    return max(1, math.isqrt(total >> 18))
+
+
 def shapes(words: int) -> dict[str, tuple[int, ...]]:
     """The model's arrays, one after another in a flat list of floats."""
     side = math.isqrt(words)
@@ -185,36 +194,48 @@ def _softmax(values: np.ndarray) -> np.ndarray:
 
 def step(model: Model, squares: Model, windows: np.ndarray, targets: np.ndarray) -> float:
     """One step of Adagrad on a batch; the batch's mean log-probability before it."""
-    n, every, side = len(targets), np.arange(len(targets)), len(model["words"])
-    kind, place = targets % side, targets // side
-    near = model["embedding"][windows]  # (places, n, width)
-    hidden = np.tanh(np.einsum("knw,kwh->nh", near, model["places"]) + model["bias"])
-    by_class = _softmax(hidden @ model["classes"] + model["class_bias"])
-    own = model["words"][kind]  # (n, hidden, words of the class)
-    by_word = _softmax(np.matmul(hidden[:, None], own)[:, 0] + model["word_bias"][kind])
-    score = float(np.mean(np.log(by_class[every, kind]) + np.log(by_word[every, place])))
-    off_class, off_word = by_class, by_word
+    n, side = len(targets), len(model["words"])
+    order = np.argsort(targets % side, kind="stable")  # by class
+    windows, targets = windows[:, order], targets[order]
+    kind, place, every = targets % side, targets // side, np.arange(n)
+    near = model["embedding"][windows.T].reshape(n, -1)  # (n, places x width)
+    places = model["places"].reshape(-1, HIDDEN)
+    hidden = np.tanh(near @ places + model["bias"])
+    off_class = _softmax(hidden @ model["classes"] + model["class_bias"])
+    score = np.log(off_class[every, kind]).sum()
     off_class[every, kind] -= 1
-    off_word[every, place] -= 1
-    back = off_class @ model["classes"].T + np.matmul(own, off_word[:, :, None])[:, :, 0]
-    back *= 1 - hidden**2
-    slope = {name: np.zeros_like(weights) for name, weights in model.items()}
-    slope["classes"], slope["class_bias"] = hidden.T @ off_class, off_class.sum(axis=0)
-    order = np.argsort(kind, kind="stable")
-    edges = np.searchsorted(kind[order], np.arange(side + 1))
+    back = off_class @ model["classes"].T
+    edges = np.searchsorted(kind, np.arange(side + 1)).tolist()
     for c, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
         if b > a:
-            mine = order[a:b]
-            slope["words"][c], slope["word_bias"][c] = hidden[mine].T @ off_word[mine], off_word[mine].sum(axis=0)
-    slope["bias"] = back.sum(axis=0)
-    for k in range(2 * REACH):
-        slope["places"][k] = near[k].T @ back
-        np.add.at(slope["embedding"], windows[k], back @ model["places"][k].T)
-    for name, g in slope.items():
-        g /= n
-        squares[name] += g * g
-        model[name] -= RATE * g / (np.sqrt(squares[name]) + 1e-6)
-    return score
+            mine, weights, at = hidden[a:b], model["words"][c], place[a:b]
+            off = _softmax(mine @ weights + model["word_bias"][c])
+            score += np.log(off[every[: b - a], at]).sum()
+            off[every[: b - a], at] -= 1
+            back[a:b] += off @ weights.T
+            _learn(weights, squares["words"][c], mine.T @ off, n)
+            _learn(model["word_bias"][c], squares["word_bias"][c], off.sum(axis=0), n)
+    back *= 1 - hidden**2
+    below = (back @ places.T).reshape(-1, WIDTH)  # one row for each neighbour
+    _learn(model["classes"], squares["classes"], hidden.T @ off_class, n)
+    _learn(model["class_bias"], squares["class_bias"], off_class.sum(axis=0), n)
+    _learn(model["bias"], squares["bias"], back.sum(axis=0), n)
+    _learn(model["places"], squares["places"], (near.T @ back).reshape(model["places"].shape), n)
+    neighbours = windows.T.ravel()
+    order = np.argsort(neighbours, kind="stable")
+    neighbours = neighbours[order]
+    first = np.flatnonzero(np.concatenate(([True], neighbours[1:] != neighbours[:-1])))
+    rows, slope = neighbours[first], np.add.reduceat(below[order], first, axis=0) / n
+    held = squares["embedding"][rows] + slope * slope
+    squares["embedding"][rows] = held
+    model["embedding"][rows] -= RATE * slope / (np.sqrt(held) + 1e-6)
+    return float(score) / n
+
+
+def _learn(weights: np.ndarray, squares: np.ndarray, slope: np.ndarray, n: int) -> None:
+    slope /= n
+    squares += slope * slope
+    weights -= RATE * slope / (np.sqrt(squares) + 1e-6)
 
 
 def log_chances(model: Model, windows: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -253,27 +274,52 @@ def _log_small(logits: np.ndarray) -> np.ndarray:
 
 
 def train(pieces: DataFrame, words: int) -> np.ndarray:
-    """The average of what the partitions of pieces learn, by their numbers of words."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = start(words)
-        model, squares = _shaped(flat, words), _shaped(np.full(len(flat), 1e-3, np.float32), words)
-        seen = turn = 0
-        for batch in batches:
-            for windows, targets in _windows(batch.column(1), batch.column(0), words):
-                masked = np.arange(turn, len(targets), MASKED)
-                turn = (turn + 3) % MASKED
-                for at in range(0, len(masked), BATCH):
-                    chosen = masked[at : at + BATCH]
-                    step(model, squares, windows[:, chosen], targets[chosen])
-                seen += len(targets)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([flat], pa.list_(pa.float32()))], names=["n", "weights"])
-
-    learnt = pieces.select("lengths", "numbers").mapInArrow(each, "n long, weights array<float>").select("n", F.posexplode("weights").alias("place", "weight"))
-    mean = learnt.groupBy("place").agg((F.sum(F.col("weight") * F.col("n")) / F.sum("n")).alias("weight"))
-    rows = mean.orderBy("place").collect()  # as many as the model has weights
-    return np.array([r["weight"] for r in rows], np.float32) if rows else start(words)
+    """What the partitions of pieces learn from every word, in ROUNDS rounds from their average on."""
+    both = np.concatenate((start(words), np.full(len(start(words)), 1e-3, np.float32)))
+    half = len(both) // 2
+
+    def one(turns: list[int], both: np.ndarray) -> np.ndarray:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mine, seen = both.copy(), 0
+            model, squares = _shaped(mine[:half], words), _shaped(mine[half:], words)
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def learn() -> None:
+                windows, targets = (np.concatenate(x, axis=-1) for x in zip(*held, strict=True))
+                held.clear()
+                chosen = np.flatnonzero(np.isin(np.arange(len(targets)) % MASKED, turns))
+                chosen = np.random.default_rng(len(targets)).permutation(chosen)
+                for part in np.array_split(chosen, max(1, round(len(chosen) / BATCH))):
+                    if len(part):
+                        step(model, squares, windows[:, part], targets[part])
+
+            for batch in batches:
+                for windows, targets in _windows(batch.column(1), batch.column(0), words):
+                    held.append((windows, targets))
+                    seen += len(targets)
+                    if sum(len(t) for _, t in held) >= _PIECE:  # small pieces learn together, in whole batches
+                        learn()
+            if held:
+                learn()
+            if seen:
+                places = range(0, len(mine), _SLICE)
+                slices = pa.array([(mine[p : p + _SLICE].astype(np.float64) * seen).tobytes() for p in places], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(list(places), pa.int64()), pa.array([seen] * len(places), pa.int64()), slices], names=["place", "n", "weights"])
+
+        def mean(key: tuple[pa.Scalar, ...], copies: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, n = 0.0, 0
+            for batch in copies:
+                for weights, seen in zip(batch["weights"], batch["n"], strict=True):
+                    total, n = total + np.frombuffer(weights.as_py()), n + seen.as_py()
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([(total / n).astype(np.float32).tobytes()])], names=["place", "weights"])
+
+        learnt = pieces.select("lengths", "numbers").mapInArrow(each, "place long, n long, weights binary")
+        rows = learnt.groupBy("place").applyInArrow(mean, "place long, weights binary").collect()  # one model
+        return np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(rows)]) if rows else both
+
+    for r in range(ROUNDS):
+        both = one(list(range(r, MASKED, ROUNDS)), both)
+    return both[:half]
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,7 +332,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     counts = stored(_counts(held))
     total = counts.agg(F.sum("n")).first()[0] or 0
     known, words = vocabulary(counts, total)
-    pieces = settled(numbered(held, known))
+    pieces = settled(numbered(held, known).repartition(trainers(total)))
     flat = train(pieces, words)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

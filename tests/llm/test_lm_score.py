@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from covenant.llm import lm_score as lm
 from covenant.llm.common import stored
@@ -93,3 +94,17 @@ def test_vocabulary_grows_with_the_documents(spark):
         assert sorted(own) == list(range(len(often)))
         sizes.append(len(own))
     assert sizes[1] > sizes[0]
+
+
+def test_training_does_not_depend_on_how_rows_are_split(spark):
+    draw = random.Random(9)
+    rows = []
+    for i in range(1200):
+        at, words = draw.randrange(60), []
+        for _ in range(50):
+            words.append(f"w{at}")
+            at = (at * 7 + draw.choice((1, 2))) % 60
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    few, many = (lm.score(docs.repartition(n)).agg(F.avg("mean_log_likelihood")).first()[0] for n in (1, 48))
+    assert abs(few - many) < 0.1 and min(few, many) > -3.9  # by chance: log(1 / 60) = -4.1
