@@ -58,3 +58,11 @@ def test_odd_rows(spark):
     kept = keep_unrepetitive(docs)
     assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [4]
     assert repetition(docs.limit(0)).count() == 0 and keep_unrepetitive(docs.limit(0)).count() == 0
+
+
+def test_long_repeats_below_the_base_rule_go():
+    """45 % of a text's characters in repeated 10-grams, no line twice."""
+    passage = " ".join(f"p{i:03d}" for i in range(45))
+    text = f"{passage} " + " ".join(f"u{i:03d}" for i in range(110)) + f" {passage}"
+    values = measure(text)
+    assert 0.44 < values[6][-1] < 0.46 and values[5] == 0 and not values[7] and not values[8]
