@@ -6,7 +6,8 @@ headings, inputs). Trees trained on a table of labelled pages (html_pages.py, TR
 node the log-odds of holding main text. Decoding then takes the likeliest consistent choice for the whole page: a node
 may be kept only if its parent is. Blocks that are kept are joined in page order.
 
-What never is text (scripts, styles, the head, form controls, embedded media) is left out when the page is read.
+What never is text (scripts, styles, the title, form controls, embedded media) is left out when the page is read. Other
+opaque elements than raw text are only left out up to their own end tag; without one, what follows is read.
 Pages are independent rows: nothing is shuffled, and memory per task is one Arrow batch.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from covenant.llm.boosting import Trees, fit
 
 _ATTRIBUTES = r"""(?>(?:[^"'>]++|"[^"]*"|'[^']*')*+)"""
-_OPAQUE = "script|style|title|textarea|noscript|template|svg|math|iframe|object|canvas|audio|video|select|button|head"
+_OPAQUE = "script|style|title|textarea|noscript|template|svg|math|iframe|object|canvas|audio|video|select|button"
 #: Comments, declarations, elements whose content is no text, and tags.
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
@@ -33,7 +34,15 @@ _TOKEN = re.compile(
     rf"|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*)(?P<attributes>{_ATTRIBUTES})>",
     re.S | re.I,
 )
-_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _OPAQUE.split("|")}
+#: Opaque elements that hold raw text: their first end tag ends them, or the page does.
+_RAW = ("script", "style", "title", "textarea")
+_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW}
+#: Tags of the other opaque elements, past comments and raw text.
+_PAIRS = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<({'|'.join(_RAW)})(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
+    rf"|<(?P<close>/?)(?P<tag>{'|'.join(t for t in _OPAQUE.split('|') if t not in _RAW)})(?=[\s/>])(?P<attributes>{_ATTRIBUTES})>",
+    re.S | re.I,
+)
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 _KINDS = (
@@ -86,6 +95,21 @@ def _bits(attributes: str) -> int:
     return found
 
 
+def _ends(html: str) -> dict[int, int]:
+    """Where opaque elements without raw text end, by the end of their first tag; those without an end tag are not in it."""
+    ends: dict[int, int] = {}
+    open_at: dict[str, list[int]] = {}
+    for token in _PAIRS.finditer(html):
+        if tag := token["tag"]:
+            stack = open_at.setdefault(tag.lower(), [])
+            if token["close"]:
+                if stack:
+                    ends[stack.pop()] = token.end()
+            elif not (tag.lower() in ("svg", "math") and token["attributes"].endswith("/")):
+                stack.append(token.end())
+    return ends
+
+
 class Page:
     """The block elements of a page and the blocks of text, in page order, as parallel lists."""
 
@@ -123,6 +147,7 @@ class Page:
         parts: list[str] = []
         linked = links = 0
         at, n = 0, len(html)
+        ends: dict[int, int] | None = None
 
         def end_block() -> None:
             nonlocal linked
@@ -157,8 +182,12 @@ class Page:
                 break
             at = token.end()
             if opaque := token["opaque"]:
-                end = _ENDS[opaque.lower()].search(html, at)
-                at = end.end() if end else n
+                if opaque.lower() in _RAW:
+                    end = _ENDS[opaque.lower()].search(html, at)
+                    at = end.end() if end else n
+                else:
+                    ends = _ends(html) if ends is None else ends
+                    at = ends.get(at, at)  # without an end tag, what follows is read as if the tag were not there
                 self.inputs[stack[-1][1]] += opaque.lower() in ("textarea", "select", "button")
                 continue
             tag = token["tag"]

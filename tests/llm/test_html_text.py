@@ -83,3 +83,20 @@ def test_odd_rows(spark):
     assert out.columns == ["page_id", "url", "text"]
     assert [r["text"] for r in out.collect() if r["page_id"] in (None, 1)] == ["", ""]
     assert out.count() == len(rows) and extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "html, blocks",
+    [
+        ("<html><head><title>no</title><meta charset=a><body><article><p>yes</p></article>", ["yes"]),
+        ("<head><style>p{}</style><script>'</p>'</script><p>one<p>two", ["one", "two"]),
+        ("<head><title>no</title></head><p>yes", ["yes"]),
+        ("<div><button>go</div><p>yes</p><button>no</button><p>more</p>", ["go", "yes", "more"]),
+        ("<p>a</p><svg><svg><text>no</text></svg><text>no</text></svg><p>b</p><svg/><p>c</p>", ["a", "b", "c"]),
+        ("<object data=x><p>a</p><video src=y><p>b</p><noscript>c", ["a", "b", "c"]),
+        ("<button><!-- </button> --><script>'</button>'</script>no</button><p>yes</p>", ["yes"]),
+        ("<p>a</p><script>no<p>no", ["a"]),
+    ],
+)
+def test_elements_without_an_end_tag_do_not_swallow_the_page(html, blocks):
+    assert [t for t in Page(html).text if t] == blocks
