@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from covenant.llm.line_dedup import LEAST_WORDS as RUN_WORDS
 from covenant.llm.repetition import LEAST_WORDS, LINE_LIMIT, MOST_REPEATED_PERCENT, NGRAM_LIMITS
+from covenant.llm.spelling import FACTOR, LETTERS, LOWER, SLIP, TIMES, UPPER
+from covenant.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
+
+#: Components of the vectors of the given table.
+VECTOR_SIZE = 64
 
 _WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -79,4 +84,68 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
     sum(12 + length(role) + length(text) + length({_MARKED.format('role')}) + length({_MARKED.format('text')}))::BIGINT AS formatted_chars
 FROM turns GROUP BY conv_id"""
 
-ORACLE: dict[str, str] = {"op1_line_dedup": LINE_DEDUP, "op4_chat_format": CHAT, "op6_quality_rules": QUALITY}
+_FAR = "list_sum(list_transform(list_zip(a.part, b.part), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+
+def _assigned(k: int) -> str:
+    """The nearest entry of codebooks k to each part, by trying all."""
+    return f"""nearest{k} AS (SELECT vec_id, p, a.part, min(struct_pack(far := {_FAR}, e := b.e)) AS best
+        FROM parts a JOIN books{k} b USING (p) GROUP BY vec_id, p, a.part)"""
+
+
+def _moved(k: int) -> str:
+    return f"""sums{k} AS (SELECT p, best.e AS e, i, sum(part[i]) AS total, count(*) AS n
+        FROM nearest{k}, range(1, 1 + {VECTOR_SIZE // PARTS}) AS places(i) GROUP BY ALL),
+    means{k} AS (SELECT p, e, list(floor(total / n)::BIGINT ORDER BY i) AS part FROM sums{k} GROUP BY p, e),
+    books{k + 1} AS (SELECT p, e, coalesce(means{k}.part, books{k}.part) AS part FROM books{k} LEFT JOIN means{k} USING (p, e))"""
+
+
+_ROUNDS = ",\n    ".join(f"{_assigned(k)},\n    {_moved(k)}" for k in range(ROUNDS))
+VECTOR_CODES = f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * {SCALE})::BIGINT) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    parts AS (SELECT vec_id, p, v[p * len(v) // {PARTS} + 1 : (p + 1) * len(v) // {PARTS}] AS part
+        FROM kept, range({PARTS}) AS positions(p)),
+    books0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, part FROM parts
+        QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= {ENTRIES}),
+    {_ROUNDS},
+    {_assigned(ROUNDS)},
+    coded AS (SELECT vec_id, string_agg(lpad(lower(to_hex(best.e)), 2, '0'), '' ORDER BY p) AS code,
+        sum(best.far)::BIGINT AS error FROM nearest{ROUNDS} GROUP BY vec_id),
+    told AS (SELECT sha256(string_agg(list_aggregate(part, 'string_agg', ','), ',' ORDER BY p, e)) AS books FROM books{ROUNDS})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, books AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id), told"""
+
+#: crc32 by its table, over the bytes of letters below 256; near words by what is left when a letter goes.
+SPELLING = f"""
+WITH RECURSIVE crc_table AS (SELECT list(list_reduce(list_prepend(b, range(8)),
+        lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t FROM range(256) AS bytes(b)),
+    runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')), '{UPPER}', '{LOWER}') AS run
+        FROM documents),
+    counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= {LETTERS} GROUP BY ALL),
+    spelled AS (SELECT run, n, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda x:
+        CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END)) AS bytes FROM counted),
+    hashed AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, bytes::BIGINT[]),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h FROM spelled, crc_table),
+    slipped AS (SELECT n, CASE WHEN h % {SLIP} = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM hashed),
+    words AS (SELECT word, sum(n)::BIGINT AS n FROM slipped WHERE length(word) >= {LETTERS} GROUP BY word HAVING sum(n) >= {TIMES}),
+    less AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest
+        FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+    near AS (SELECT DISTINCT a.word, b.word AS near, b.n FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+        UNION SELECT less.word, words.word, words.n FROM less JOIN words ON rest = words.word
+        UNION SELECT words.word, less.word, less.n FROM less JOIN words ON rest = words.word),
+    best AS (SELECT word, count(*) AS n_near, min(struct_pack(rank := -n, near := near)) AS best FROM near GROUP BY word),
+    formed AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.rank >= {FACTOR} * n THEN best.near END AS form,
+        CASE WHEN -best.rank >= {FACTOR} * n THEN -best.rank END AS form_n FROM words LEFT JOIN best USING (word)),
+    steps AS (SELECT word, word AS last FROM words
+        UNION ALL SELECT steps.word, form FROM steps JOIN formed ON last = formed.word WHERE form IS NOT NULL)
+SELECT formed.word, formed.form, steps.last AS root, formed.n, formed.n_near, formed.form_n
+FROM formed JOIN steps USING (word) JOIN formed AS ends ON steps.last = ends.word WHERE ends.form IS NULL"""
+
+ORACLE: dict[str, str] = {
+    "op1_line_dedup": LINE_DEDUP,
+    "op4_chat_format": CHAT,
+    "op6_quality_rules": QUALITY,
+    "op12_vector_codes": VECTOR_CODES,
+    "op13_spelling": SPELLING,
+}

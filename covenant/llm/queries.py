@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covenant.llm import chat, decontaminate, html_text, license_scan, line_dedup, lm_score, packing, pii, repetition, simhash
+from covenant.llm import (
+    byte_bpe,
+    chat,
+    decontaminate,
+    html_text,
+    license_scan,
+    line_dedup,
+    lm_score,
+    packing,
+    pii,
+    repetition,
+    simhash,
+    spelling,
+    vector_codes,
+)
 from covenant.llm.common import table
 
 
@@ -65,6 +79,28 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = byte_bpe.read_ranks(byte_bpe.vocabulary())
+    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, byte_bpe.pattern())
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256")
+    told = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest, "ids")
+    decoded = byte_bpe.decode(told, ranks)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    digits = F.transform("code", lambda entry: F.lpad(F.lower(F.hex(entry)), 2, "0"))
+    told = vector_codes.label_errors(found.codes).withColumn("code", F.array_join(digits, ""))
+    books = F.lit(found.books_sha256()).alias("codebooks_sha256")
+    return told.select("vec_id", "code", "error", "label_error", books)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+    return told.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_pii": op2_pii,
@@ -76,4 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_license_scan": op9_license_scan,
     "op10_html_text": op10_html_text,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_spelling": op13_spelling,
 }
