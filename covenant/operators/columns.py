@@ -13,6 +13,14 @@ def ref(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fresh(taken: Iterable[str], wanted: str) -> str:
+    """``wanted``, with as many underscores before it as make it a name that is not taken, case aside."""
+    names = {name.lower() for name in taken}
+    while wanted.lower() in names:
+        wanted = f"_{wanted}"
+    return wanted
+
+
 def case_key(df: DataFrame):
     """How this session compares column names."""
     sensitive = df.sparkSession.conf.get("spark.sql.caseSensitive", "false").lower() == "true"
@@ -26,7 +34,7 @@ def where_computed(df: DataFrame, condition: Column) -> DataFrame:
     twice, in the filter and in the projection. A column that depends on the task keeps the two
     in order.
     """
-    task = "__task"
+    task = fresh(df.columns, "__task")
     kept = df.withColumn(task, F.spark_partition_id()).where((F.col(task) >= 0) & condition)
     return kept.drop(task)
 

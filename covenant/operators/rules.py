@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from covenant.contract import FLAGS, REASON, ColumnSpec, Contract
 from covenant.functions import check_digits_ok, is_valid_email, only_digits
-from covenant.operators.columns import any_of, ref
+from covenant.operators.columns import any_of, fresh, ref
 from covenant.operators.uniqueness import mark_repeated
 
 # Reason prefix and check names, in the order the checks of a column run.
@@ -47,13 +48,13 @@ class Check:
     def compares_rows(self) -> bool:
         return self.name == "duplicate"
 
-    def failed(self) -> Column:
-        """Whether a row's value breaks the rule; a NULL value never does."""
+    def failed(self, digits: str) -> Column:
+        """Whether a row's value breaks the rule; a NULL value never does. ``digits``: where its digits are."""
         value, rules = ref(self.column.name), self.column.rules
         text = value.cast("string")
         broken = {
             "regex": lambda: ~text.rlike(rules.regex),
-            "invalid_cpf": lambda: ~check_digits_ok(ref(_digits_name(self.column.name))),
+            "invalid_cpf": lambda: ~check_digits_ok(ref(digits)),
             "invalid_email": lambda: ~is_valid_email(text),
             "below_min": lambda: value < F.lit(rules.min),
             "above_max": lambda: value > F.lit(rules.max),
@@ -84,14 +85,6 @@ def violation_codes(contract: Contract) -> list[str]:
     return [f"{VIOLATION}:{flag}" for flag, policy in soft_flags(contract) if policy == "quarantine"]
 
 
-def _digits_name(column: str) -> str:
-    return f"__digits_{column}"
-
-
-def _hit(check: Check) -> Column:
-    return ref(f"__hit_{check.flag}")
-
-
 def judge(df: DataFrame, contract: Contract) -> DataFrame:
     """Apply every check: add the flags and the soft reason, and empty values under ``nullify``.
 
@@ -105,11 +98,12 @@ def judge(df: DataFrame, contract: Contract) -> DataFrame:
     if not checks:
         empty = F.array().cast("array<string>")
         return df.withColumns({FLAGS: empty, REASON: F.lit(None).cast("string")})
-    judged = _check_rows(df, [c for c in checks if not c.compares_rows])
-    judged = mark_repeated(judged, {c.column.name: f"__hit_{c.flag}" for c in checks if c.compares_rows})
-    flagged = [F.when(_hit(c), F.lit(c.flag)) for c in checks if c.policy != "quarantine"]
+    hits = {c.flag: fresh(df.columns, f"__hit_{c.flag}") for c in checks}
+    judged = _check_rows(df, [c for c in checks if not c.compares_rows], hits)
+    judged = mark_repeated(judged, {c.column.name: hits[c.flag] for c in checks if c.compares_rows})
+    flagged = [F.when(ref(hits[c.flag]), F.lit(c.flag)) for c in checks if c.policy != "quarantine"]
     reasons = [
-        F.when(_hit(c), F.lit(f"{VIOLATION}:{c.flag}")) for c in checks if c.policy == "quarantine"
+        F.when(ref(hits[c.flag]), F.lit(f"{VIOLATION}:{c.flag}")) for c in checks if c.policy == "quarantine"
     ]
     absent = F.array(F.lit(None).cast("string"))
     out = {
@@ -120,18 +114,17 @@ def judge(df: DataFrame, contract: Contract) -> DataFrame:
     }
     for check in checks:
         if check.compares_rows and check.policy == "nullify":
-            out[check.column.name] = F.when(~_hit(check), ref(check.column.name))
-    hits = [f"__hit_{c.flag}" for c in checks]
-    return judged.withColumns(out).drop(*hits)
+            out[check.column.name] = F.when(~ref(hits[check.flag]), ref(check.column.name))
+    return judged.withColumns(out).drop(*map(ref, hits.values()))
 
 
-def _check_rows(df: DataFrame, checks: list[Check]) -> DataFrame:
-    """One boolean per check that looks at single rows, with nullified values already empty."""
-    digits = {
-        _digits_name(c.column.name): only_digits(ref(c.column.name))
-        for c in checks
-        if c.name == "invalid_cpf"
-    }
+def _check_rows(df: DataFrame, checks: list[Check], hits: Mapping[str, str]) -> DataFrame:
+    """One boolean per check that looks at single rows, with nullified values already empty.
+
+    ``hits``: the names of these columns by flag.
+    """
+    names = {c.column.name: fresh(df.columns, f"__digits_{c.column.name}") for c in checks}
+    digits = {names[c.column.name]: only_digits(ref(c.column.name)) for c in checks if c.name == "invalid_cpf"}
     prepared = df.withColumns(digits) if digits else df
     by_column: dict[str, list[Check]] = {}
     for check in checks:
@@ -140,10 +133,10 @@ def _check_rows(df: DataFrame, checks: list[Check]) -> DataFrame:
     for name, group in by_column.items():
         earlier: list[Column] = []
         for check in group:
-            failed = check.failed()
+            failed = check.failed(names[name])
             first = check.policy != "nullify" or not earlier
-            out[f"__hit_{check.flag}"] = failed if first else ~any_of(earlier) & failed
+            out[hits[check.flag]] = failed if first else ~any_of(earlier) & failed
             earlier.append(failed)
         if group[0].policy == "nullify":
             out[name] = F.when(~any_of(earlier), ref(name))
-    return prepared.withColumns(out).drop(*digits) if out else prepared
+    return prepared.withColumns(out).drop(*map(ref, digits)) if out else prepared

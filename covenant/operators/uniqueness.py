@@ -7,9 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covenant.operators.columns import ref
-
-_VALUE, _HASH, _SPREAD = "__value", "__hash", "__spread"
+from covenant.operators.columns import fresh, ref
 
 
 def mark_repeated(df: DataFrame, flags: Mapping[str, str]) -> DataFrame:
@@ -27,22 +25,24 @@ def mark_repeated(df: DataFrame, flags: Mapping[str, str]) -> DataFrame:
 
     NULL rows find no partner, so they are spread by a hash of the whole row over all tasks.
     """
-    lists = [(column, flag, _repeated(df, column, i)) for i, (column, flag) in enumerate(flags.items())]
+    taken = [*df.columns, *flags.values()]
+    spread, listed, hashed = (fresh(taken, name) for name in ("__spread", "__value", "__hash"))
+    lists = [(column, flag, _repeated(df, column, listed, hashed)) for column, flag in flags.items()]
     whole_row = F.xxhash64(*[ref(f) for f in _hashable(df)])
-    for i, (column, flag, repeated) in enumerate(lists):
-        value, spread, listed = ref(column), f"{_SPREAD}{i}", f"{_VALUE}{i}"
+    for column, flag, repeated in lists:
+        value = ref(column)
         df = df.withColumn(spread, F.when(value.isNotNull(), F.xxhash64(value)).otherwise(whole_row))
-        same = (value == F.col(listed)) & (F.col(spread) == F.col(f"{_HASH}{i}"))
+        same = (value == F.col(listed)) & (F.col(spread) == F.col(hashed))
         joined = df.join(repeated, same, "left").withColumn(flag, F.col(listed).isNotNull())
-        df = joined.drop(spread, listed, f"{_HASH}{i}")
+        df = joined.drop(spread, listed, hashed)
     return df
 
 
-def _repeated(df: DataFrame, column: str, i: int) -> DataFrame:
+def _repeated(df: DataFrame, column: str, listed: str, hashed: str) -> DataFrame:
     """The values that two rows or more hold, each with its hash."""
-    value, listed = ref(column), f"{_VALUE}{i}"
-    counted = df.where(value.isNotNull()).groupBy(value.alias(listed)).count()
-    return counted.where(F.col("count") > 1).select(listed, F.xxhash64(listed).alias(f"{_HASH}{i}"))
+    value = ref(column)
+    counted = df.where(value.isNotNull()).groupBy(value.alias(listed)).agg(F.count(F.lit(1)).alias(hashed))
+    return counted.where(F.col(hashed) > 1).select(listed, F.xxhash64(listed).alias(hashed))
 
 
 def _hashable(df: DataFrame) -> list[str]:
