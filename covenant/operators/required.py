@@ -59,6 +59,11 @@ def incomplete_rows(typed: DataFrame, contract: Contract) -> DataFrame:
     """
     absent = any_of(ref(c).isNull() for c in contract.required)
     lacking = where_computed(typed, absent) if computes_required(contract) else typed.where(absent)
+    return rejected_rows(lacking, contract)
+
+
+def rejected_rows(lacking: DataFrame, contract: Contract) -> DataFrame:
+    """Rows known to lack a required value, with the reason and no flags."""
     return lacking.withColumns({REASON: missing_reason(contract), FLAGS: no_flags()})
 
 

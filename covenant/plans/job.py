@@ -9,6 +9,7 @@ from __future__ import annotations
 import argparse
 import glob
 from collections.abc import Iterable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from importlib.resources import files
 
@@ -26,8 +27,13 @@ HASH_JOIN = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
 ZONE = "spark.sql.session.timeZone"
 # Below so much in every measured partition of its smaller side, a join by sort becomes one by hash.
 HASH_JOIN_BYTES = "64MB"
-# Bytes of input per shuffle partition.
-PARTITION_BYTES = 128 * 1024 * 1024
+SCAN_BYTES = "spark.sql.files.maxPartitionBytes"
+# Bytes of input per partition, up to EVEN_BYTES of input; and the most that a partition gets.
+PARTITION_BYTES = 128 * 1024**2
+EVEN_BYTES = 1024**4
+MOST_BYTES = 2 * 1024**3
+# Contracts published side by side.
+AT_ONCE = 4
 # Spark's estimate for what it knows nothing about.
 UNKNOWN_BYTES = 2**62
 
@@ -55,10 +61,20 @@ def input_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def partition_bytes(size: int) -> int:
+    """Bytes per partition, of scans and of shuffles, for an input of so many bytes.
+
+    A shuffle has as many blocks as scan tasks times shuffle partitions, and the driver keeps a status of every
+    block. With a fixed size per partition the blocks grow with the square of the input; beyond EVEN_BYTES the size
+    grows with its square root, and the blocks in proportion to the input.
+    """
+    return min(MOST_BYTES, round(PARTITION_BYTES * max(1, size / EVEN_BYTES) ** 0.5))
+
+
 def wanted_partitions(raw: DataFrame) -> int:
     """Shuffle partitions for an input: by its size, or by its scan tasks where the size is unknown."""
     size = input_bytes(raw)
-    return -(-size // PARTITION_BYTES) if size < UNKNOWN_BYTES else raw.rdd.getNumPartitions()
+    return -(-size // partition_bytes(size)) if size < UNKNOWN_BYTES else raw.rdd.getNumPartitions()
 
 
 @contextmanager
@@ -67,7 +83,8 @@ def tuned(spark: SparkSession, raw: DataFrame, partitions: int | None = None) ->
 
     Times are UTC, whatever zone the session has. Shuffles start with enough partitions for the
     input (or with ``partitions``), since the session's default number suits small tables; adaptive
-    execution merges partitions that turn out small. And a sort-merge join becomes a hash join
+    execution merges partitions that turn out small. Scans of very large inputs get larger tasks by the same
+    rule. And a sort-merge join becomes a hash join
     where every measured partition of its smaller side is small, so the rows that look up repeated
     values need not be sorted. Of these two, what the user has set is left alone.
     """
@@ -76,6 +93,9 @@ def tuned(spark: SparkSession, raw: DataFrame, partitions: int | None = None) ->
     if partitions or int(spark.conf.get("spark.sql.shuffle.partitions")) < most:
         ours[PARTITIONS] = str(most)
     ours = {key: value for key, value in ours.items() if spark.conf.get(key, None) is None}
+    size = input_bytes(raw)
+    if EVEN_BYTES < size < UNKNOWN_BYTES and spark.conf.get(SCAN_BYTES) in (str(PARTITION_BYTES), f"{PARTITION_BYTES}b"):
+        ours[SCAN_BYTES] = str(partition_bytes(size))
     zone = spark.conf.get(ZONE)
     for key, value in {**ours, ZONE: "UTC"}.items():
         spark.conf.set(key, value)
@@ -87,6 +107,12 @@ def tuned(spark: SparkSession, raw: DataFrame, partitions: int | None = None) ->
         spark.conf.set(ZONE, zone)
 
 
+def reads_text_twice(contract: Contract) -> bool:
+    """Whether plans over the source would parse text more than once: for both tables, or for values to be unique."""
+    unique = any(c.rules.unique for c in contract.columns)
+    return contract.source.format in ("json", "csv") and (bool(contract.required) or unique)
+
+
 def publish(
     spark: SparkSession,
     contract: Contract,
@@ -98,7 +124,8 @@ def publish(
 ) -> list[tuple[str, str, int]]:
     """Apply one contract, write its two tables and return the counts taken on the way.
 
-    Rows that feed both tables are staged once in the shared folder; the two writes themselves
+    A text source is parsed once: its typed rows land in the shared folder, where there is one, and both tables
+    read them there. Judged rows that feed both tables are staged there too. The two writes themselves
     count, so no separate counting job runs. ``as_table`` says what the target is where its name
     misleads, ``partitions`` how many partitions shuffles start with.
     """
@@ -107,7 +134,8 @@ def publish(
     counters = RunCounters(contract)
     try:
         with tuned(spark, raw, partitions):
-            outcome = apply_contract(raw, contract, stage)
+            land = stage.land if source is None and reads_text_twice(contract) and stage.available() else None
+            outcome = apply_contract(raw, contract, stage, land)
             where = write_outcome(outcome, contract, target, fmt, as_table, counters)
     finally:
         stage.discard()
@@ -117,6 +145,14 @@ def publish(
     return rows
 
 
+class PublishFailed(RuntimeError):
+    """Some contracts could not be published; ``failures`` has why, by name, and ``rows`` the counts of all others."""
+
+    def __init__(self, failures: dict[str, Exception], rows: list[tuple[str, str, int]]) -> None:
+        super().__init__("; ".join(f"{name}: {type(error).__name__}: {error}" for name, error in failures.items()))
+        self.failures, self.rows = failures, rows
+
+
 def run(
     spark: SparkSession,
     contracts: Iterable[Contract],
@@ -125,13 +161,53 @@ def run(
     fmt: str = "parquet",
     as_table: bool | None = None,
     partitions: int | None = None,
+    at_once: int = AT_ONCE,
 ) -> DataFrame:
-    """Publish every contract and return the quality report."""
-    rows: list[tuple[str, str, int]] = []
-    for contract in contracts:
-        moved = contract.reading_from(source_base)
-        rows += publish(spark, moved, target, fmt, as_table=as_table, partitions=partitions)
-    return report_frame(spark, rows)
+    """Publish every contract and return the quality report.
+
+    Up to ``at_once`` contracts are published side by side, each in a session of its own with this
+    one's settings, since a run changes settings. Where the scheduler is fair, each has a pool of its own too. A contract
+    over a temporary view can only run in this session, before the others. A contract that fails does not keep
+    the others from being published; ``PublishFailed`` is raised at the end.
+    """
+    moved = [contract.reading_from(source_base) for contract in contracts]
+    rows: dict[int, list[tuple[str, str, int]]] = {}
+    failures: dict[str, Exception] = {}
+
+    def one(i: int, session: SparkSession) -> None:
+        try:
+            rows[i] = publish(session, moved[i], target, fmt, as_table=as_table, partitions=partitions)
+        except Exception as error:  # noqa: BLE001 (told at the end, by contract)
+            failures[moved[i].name] = error
+
+    def apart(i: int) -> None:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", moved[i].name)
+        one(i, _session_like(spark))
+
+    together = [i for i, contract in enumerate(moved) if at_once > 1 and not _reads_view(spark, contract)]
+    for i in sorted({*range(len(moved))} - {*together}):
+        one(i, spark)
+    with ThreadPoolExecutor(max_workers=max(1, min(at_once, len(together)))) as pool:
+        list(pool.map(apart, together))
+    counted = [row for i in sorted(rows) for row in rows[i]]
+    if failures:
+        raise PublishFailed(failures, counted) from next(iter(failures.values()))
+    return report_frame(spark, counted)
+
+
+def _session_like(spark: SparkSession) -> SparkSession:
+    """A new session with the settings of this one."""
+    other = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if other.conf.get(key, None) != value and other.conf.isModifiable(key):
+            other.conf.set(key, value)
+    return other
+
+
+def _reads_view(spark: SparkSession, contract: Contract) -> bool:
+    """Whether the source is a temporary view, which no other session sees."""
+    path = contract.source.path
+    return contract.source.format == "table" and any(t.isTemporary and t.name == path for t in spark.catalog.listTables())
 
 
 def main(argv: Sequence[str] | None = None) -> None:
@@ -142,12 +218,20 @@ def main(argv: Sequence[str] | None = None) -> None:
     options.add_argument("--format", default="parquet", help="table format of the output")
     options.add_argument("--target", choices=["folder", "tables"], help="what the output is (default: by its name)")
     options.add_argument("--shuffle-partitions", type=int, help="partitions that shuffles start with")
+    options.add_argument("--at-once", type=int, default=AT_ONCE, help="contracts published side by side")
     given = options.parse_args(argv)
     spark = SparkSession.builder.appName("covenant").getOrCreate()
     contracts = load_contracts(given.contracts)
     as_table = None if given.target is None else given.target == "tables"
     report = run(
-        spark, contracts, given.output, given.source_base, given.format, as_table, given.shuffle_partitions
+        spark,
+        contracts,
+        given.output,
+        given.source_base,
+        given.format,
+        as_table,
+        given.shuffle_partitions,
+        given.at_once,
     )
     report.show(1000, truncate=False)
     spark.stop()

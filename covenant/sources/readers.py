@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from covenant.contract import CORRUPT, UNDECLARED, Contract, ContractError
-from covenant.operators.columns import any_of
+from covenant.operators.columns import any_of, fresh
 
 
 def read_source(spark: SparkSession, contract: Contract) -> DataFrame:
@@ -19,8 +19,7 @@ def read_source(spark: SparkSession, contract: Contract) -> DataFrame:
         # a record over several lines can only be read by Spark's own reader, which finds all fields
         return reader.options(**source.options).json(source.path) if source.infer or several_lines else _json_lines(spark, contract)
     if source.format == "csv":
-        reader = reader.option("header", "true").option("inferSchema", "false")
-        return reader.options(**source.options).csv(source.path)
+        return _csv(spark, contract)
     if source.format == "parquet":
         return reader.options(**source.options).parquet(source.path)
     if source.format == "table":
@@ -28,6 +27,21 @@ def read_source(spark: SparkSession, contract: Contract) -> DataFrame:
     raise ContractError(f"unknown source format {source.format!r}")
 
 
+def _csv(spark: SparkSession, contract: Contract) -> DataFrame:
+    """Columns as text by the header, and the text of records that do not fit it.
+
+    A record with more fields than the header, or fewer, keeps those that have a column; its whole text then is in
+    the column of corrupt records too, which reaches the quarantine table. Where the header has a column of that
+    name, theirs gets an underscore more.
+    """
+    options = {"header": "true", "inferSchema": "false", **contract.source.options}
+    columns = spark.read.options(**options).csv(contract.source.path).schema
+    if str(options["inferSchema"]).lower() != "true":
+        kept = options.setdefault("columnNameOfCorruptRecord", fresh(columns.names, CORRUPT))
+        columns = columns if kept in columns.names else columns.add(kept, T.StringType())
+    return spark.read.options(**options).schema(columns).csv(contract.source.path)
+
+
 def _json_lines(spark: SparkSession, contract: Contract) -> DataFrame:
     """JSON lines in one pass: declared fields as text, all others in a map, and the text of bad lines.
 

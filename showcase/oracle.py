@@ -324,6 +324,8 @@ ORACLE: dict[str, str] = {
     ),
     "scan_json_inferred": _orders_quarantine("warn"),
     "scan_csv_conform": _DEFAULT_CUSTOMERS,
+    "scan_csv_corrupt": """SELECT c_name AS name, 'not_nullable_violation:_c0' AS _quarantine_reason,
+        CASE WHEN (c_custkey + 1) % 10 = 0 THEN ',' || c_name || ',surplus' END AS whole_text FROM customer WHERE (c_custkey + 1) % 5 = 0""",
     "scan_table_conform": _FRAUD_REJECTED,
     "sink_partitioned_roundtrip": _orders_valid("quarantine"),
     "sink_quarantine_roundtrip": _orders_quarantine("quarantine"),
@@ -496,3 +498,7 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT 'fraud_flags_silver', 'quarantine', count(*) FROM f_typed WHERE transaction_id IS NULL""",
     ),
 }
+ORACLE |= {
+    "publish_json_once": ORACLE["scan_json_conform"],
+    "publish_json_once_quarantine": ORACLE["scan_json_extra_fields"],
+}

@@ -183,6 +183,45 @@ def scan_json_extra_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejected.select(*extra.values(), REASON, "txn_id")
 
 
+@query
+def scan_csv_corrupt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the quarantine shows of records with a surplus field, and of others."""
+    path = _folder(spark, "surplus.csv")
+    number = F.col("c_custkey") + 1  # the first line, by which Spark counts the columns, has no surplus
+    key = F.when(number % 5 != 0, number).cast("string")
+    surplus = F.when(number % 10 == 0, F.lit("surplus"))
+    line = F.concat_ws(",", F.coalesce(key, F.lit("")), "c_name", surplus)
+    table(spark, sf_dir, "customer").select(line).write.mode("overwrite").text(path)
+    columns = [{"name": "_c0", "type": "long", "nullable": False}, {"name": "_c1", "type": "string"}]
+    source = {"format": "csv", "path": path, "options": {"header": "false", "columnNameOfCorruptRecord": "whole_text"}}
+    declared = contract("surplus", columns, source=source)
+    rejected = apply_contract(read_source(spark, declared), declared).quarantine
+    return rejected.select(F.col("_c1").alias("name"), "whole_text", REASON)
+
+
+@query
+def publish_json_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The valid table of a job over JSON lines, whose typed rows land once and feed both tables."""
+    path, out = _folder(spark, "published.json"), _folder(spark, "published")
+    raw_orders(spark, sf_dir).write.mode("overwrite").json(path)
+    source = {"format": "json", "path": path, "fields": ["order_id", "status"]}
+    declared = orders_contract(source=source, partition_by=[])
+    publish(spark, declared, out)
+    return as_text(spark.read.parquet(f"{out}/{declared.name}"))
+
+
+@query
+def publish_json_once_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quarantine of the same job, with the fields that no contract declares."""
+    path, out = _folder(spark, "rejected.json"), _folder(spark, "rejected")
+    raw_orders(spark, sf_dir).withColumnRenamed("txn_id", "Txn_ID").write.mode("overwrite").json(path)
+    declared = orders_contract(source={"format": "json", "path": path}, partition_by=[])
+    publish(spark, declared, out)
+    rejected = spark.read.parquet(f"{out}/{declared.name}_quarantine")
+    extra = {name: F.try_element_at(UNDECLARED, F.lit(name)).alias(name) for name in ("order_id", "status")}
+    return rejected.select(*extra.values(), REASON, "txn_id")
+
+
 # --- sinks and report ----------------------------------------------------------------------------
 
 

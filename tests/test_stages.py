@@ -14,6 +14,7 @@ from covenant.operators.dedup import keep_one
 from covenant.operators.required import complete_rows, incomplete_rows
 from covenant.operators.rules import checks_of, judge, soft_flags
 from covenant.operators.typing import conform
+from covenant.sinks import SharedStage
 from tests.helpers import column, make, rows
 
 # --- typing ---------------------------------------------------------------------------------------
@@ -314,3 +315,24 @@ def test_warn_only_contract_is_idempotent(spark):
     df = spark.createDataFrame([("1", "a"), ("1", "b"), ("2", "b"), ("3", "c")], "k string, e string")
     once = apply_contract(df, contract).valid
     assert rows(apply_contract(once, contract).valid) == rows(once)
+
+
+def test_columns_named_like_helpers_are_kept(spark):
+    rules = {"valid_cpf": True, "unique": True, "regex": ".", "on_fail": "quarantine"}
+    contract = make(
+        column("k", "double", nullable=False, transform="clean_numeric"),
+        column("doc", rules=rules),
+        column("__spread", rules={"unique": True}),
+        dedup={"keys": ["k"], "order_by": "__spread"},
+    )
+    helpers = ["__task", "__rank", "__winner", "__value", "__hash", "__value0", "__hash0", "__spread0", "__rejected", "__hit_duplicate:doc", "__digits_doc"]
+    shown = [f"'own' AS `{name}`" for name in helpers]
+    df = spark.createDataFrame([("1", "x", "s"), ("1", "x", "s"), (None, "y", "s"), ("2", "z", "t")], "k string, doc string, __spread string")
+    stage = SharedStage(spark, "clash")
+    for given in (None, stage):
+        found = apply_contract(df.selectExpr("*", *shown), contract, given)
+        assert found.valid.count() == 0
+        rejected = found.quarantine.collect()
+        assert len(rejected) == 3 and {r[name] for r in rejected for name in helpers} == {"own"}
+    stage.discard()
+    assert found.valid.columns == ["k", "doc", "__spread", "_dq_flags"]
