@@ -2,20 +2,22 @@
 
 A text's score is the sum of log P(word | REACH words on either side) over its words, with A-Z lowered.
 
-* Vocabulary: a distributed table of all words of all documents. A word with least(total words) occurrences or more has
-  a number of its own; the others share numbers by a hash, as many as the network has left, and each has its share of
-  its number's occurrences: P(word | window) = P(number | window) P(word | number). The network grows with the vocabulary.
-* Texts become numbers block by block: a block's distinct words meet the vocabulary in a shuffled join and go back to
-  their block, so that no task holds the vocabulary and a hot word is one row a block.
+* Vocabulary: all words of all documents are counted. A word with least(total words) occurrences or more has a number of
+  its own; all others are one number to predict, with P(word | window) = P(other | window) P(word | other), and BUCKETS
+  numbers by a hash as neighbours. Other words with listed(total words) occurrences or more have their share of them all as
+  P(word | other); the rest is spelled, byte by byte after the two before, with chances from the counts of all such words.
+  So every word has a chance of its own, also one never seen.
 * Network: the neighbours' embeddings, by place, add up to a hidden layer, which predicts the class of the number and
   then the number within its class, two small softmaxes in place of a large one.
 * Training in numpy over all documents, every word predicted once: trainers(total words) copies train on pieces dealt out
-  anew, so that their steps follow the number of words and not how the input is split. A word's turn in MASKED says in
-  which of ROUNDS rounds it is masked; after each, copies and their gradients' squares are averaged by the number of
-  words, in slices, in a shuffle, and all go on from there. What reaches the driver is one model and the words with
-  numbers of their own, at most 4 times the square root of the number of words.
-
-Scoring is a map over blocks; memory per task is the model and one block of words.
+  anew, so that their steps follow the number of words and not how the input is split. A word's place modulo ROUNDS says
+  in which round it is masked; after each, copies and their gradients' squares are averaged by the number of words, in
+  slices, in a shuffle, and all go on from there.
+* What reaches the driver and each task: with r the cube root of the number of words, at most 64 r words with numbers
+  and one model over these, at most 1024 r further words, and 2^20 chances of letters. Shuffled are the counts of words,
+  the numbers once, and the copies.
+
+Scoring is a map over pieces; memory per task is the model and one piece of words.
 """
 
 from __future__ import annotations
@@ -24,25 +26,26 @@ import math
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covenant.llm.common import settled, stored
+from covenant.llm.common import n_words, settled
 
 REACH = 2
-#: The smallest network: classes, numbers, and numbers left for words that share one.
-CLASSES = 32
-WORDS = CLASSES * CLASSES
+#: Numbers that neighbours without one of their own share.
 BUCKETS = 512
 WIDTH, HIDDEN = 16, 32
-MASKED, ROUNDS = 16, 8
-BATCH, RATE = 1024, 0.05
-#: Words of a block that shares a list of distinct words, and of a piece of it that is read at once.
+#: Contexts of a byte, and how many seen bytes the byte's chance after the last byte alone counts for.
+CONTEXTS, PRIOR = 1 << 12, 4
+ROUNDS = 8
+RATE = 0.2
+#: Words of a step: so many that a copy takes STEPS a round, within these bounds.
+BATCHES, STEPS = (512, 8192), 64
+#: Words that are counted together, and words of a piece that is read at once.
 _BLOCK, _PIECE = 1 << 21, 1 << 16
 #: Weights that are averaged in one row.
 _SLICE = 1 << 14
@@ -52,12 +55,12 @@ Model = dict[str, np.ndarray]
 
 def least(total: int) -> int:
     """From so many occurrences on, a word has a number of its own."""
-    return max(1, math.isqrt(total) // 4)
+    return max(1, int(total ** (2 / 3)) // 64)
 
 
-def size(own: int) -> int:
-    """How many numbers the network has for so many words with one of their own: a square, for classes of one size."""
-    return max(CLASSES, math.isqrt(own + BUCKETS - 1) + 1) ** 2
+def listed(total: int) -> int:
+    """From so many occurrences on, a word's share of the words without numbers is listed."""
+    return max(1, int(total ** (2 / 3)) // 1024)
 
 
 def trainers(total: int) -> int:
@@ -65,126 +68,196 @@ def trainers(total: int) -> int:
     return max(1, math.isqrt(total >> 18))
 
 
-def shapes(words: int) -> dict[str, tuple[int, ...]]:
-    """The model's arrays, one after another in a flat list of floats."""
-    side = math.isqrt(words)
+def batch_size(total: int) -> int:
+    low, high = BATCHES
+    return min(high, max(low, total // trainers(total) // ROUNDS // STEPS))
+
+
+def shapes(own: int) -> dict[str, tuple[int, ...]]:
+    """The model's arrays for so many words with numbers, one after another in a flat list of floats."""
+    side = math.isqrt(own) + 1  # side * side numbers to predict: the words, the others, and some that stay unused
     return {
-        "embedding": (words + 1, WIDTH), "places": (2 * REACH, WIDTH, HIDDEN), "bias": (HIDDEN,),
+        "embedding": (own + BUCKETS + 1, WIDTH), "places": (2 * REACH, WIDTH, HIDDEN), "bias": (HIDDEN,),
         "classes": (HIDDEN, side), "class_bias": (side,), "words": (side, HIDDEN, side), "word_bias": (side, side),
     }
 
 
-def _shaped(flat: np.ndarray, words: int = WORDS) -> Model:
+def _shaped(flat: np.ndarray, own: int) -> Model:
     model, at = {}, 0
-    for name, shape in shapes(words).items():
+    for name, shape in shapes(own).items():
         end = at + int(np.prod(shape))
         model[name] = flat[at:end].reshape(shape)
         at = end
     return model
 
 
-def start(words: int = WORDS) -> np.ndarray:
+def start(own: int) -> np.ndarray:
     """The weights that every copy starts from."""
     draw = np.random.default_rng(5)
-    return np.concatenate([draw.normal(0, 0.1, int(np.prod(s))).astype(np.float32) for s in shapes(words).values()])
+    return np.concatenate([draw.normal(0, 0.1, int(np.prod(s))).astype(np.float32) for s in shapes(own).values()])
 
 
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) over all rows of docs (text)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: defaultdict[bytes, int] = defaultdict(int)
+        held = 0
+        for batch in batches:
+            for text in batch.column(0):
+                words = _words(text.as_py())
+                for word in words:
+                    seen[word] += 1
+                held += len(words)
+                if held >= _BLOCK:
+                    yield from told(seen)
+                    seen.clear()
+                    held = 0
+        yield from told(seen)
+
+    def told(seen: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+        table = pa.table({"word": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
+        yield from table.to_batches(max_chunksize=1 << 16)
+
+    return docs.select("text").mapInArrow(each, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """own: the words with numbers, by falling count. shares: log P(word | other) of the further words that are listed.
+
+    letters: log P(byte | context) in all words that are not listed, as far as bytes follow a context, which _contexts
+    tells. rest: log P(not listed | other).
+    """
+
+    own: list[bytes]
+    shares: dict[bytes, float]
+    letters: np.ndarray
+    rest: float
+
+
+def vocabulary(counts: DataFrame, total: int) -> Vocabulary:
+    known = listed(total)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, after = np.zeros(1 << 16, np.int64), np.zeros(CONTEXTS << 8, np.int64)
+        rest = 0
+        for batch in batches:
+            n = batch.column(1).to_numpy()
+            often = n >= known
+            yield pa.RecordBatch.from_pydict({"word": batch.column(0).filter(pa.array(often)), "place": np.full(often.sum(), -1), "n": n[often]})
+            others = batch.column(0).filter(pa.array(~often)).to_pylist()
+            if others:
+                codes, lengths = _joined(others)
+                # times a letter was seen; exact, since counts are below 2^53
+                times = np.repeat(n[~often], lengths + 1).astype(np.float64)
+                pairs += np.bincount(_pairs(codes), times, len(pairs)).astype(np.int64)
+                after += np.bincount(_contexts(codes), times, len(after)).astype(np.int64)
+                rest += int(n[~often].sum())
+        seen = np.concatenate([pairs, after, [rest]])
+        place = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_pydict({"word": pa.nulls(len(place), pa.binary()), "place": place, "n": seen[place]})
+
+    rows = settled(counts.mapInArrow(each, "word binary, place long, n long"))
+    words = rows.where("place < 0").select("word", "n").orderBy(F.desc("n"), "word").toArrow()
+    seen = np.zeros((1 << 16) + (CONTEXTS << 8) + 1)
+    held = rows.where("place >= 0").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    seen[held["place"].to_numpy()] = held["n"].to_numpy()
+    pairs, after = seen[: 1 << 16].reshape(256, 256) + 1, seen[1 << 16 : -1].reshape(CONTEXTS, 256)
+    pairs /= pairs.sum(axis=1, keepdims=True)
+    # what a context leaves open follows its last byte
+    after = after + PRIOR * pairs[np.arange(CONTEXTS) & 255]
+    letters = np.log(after / after.sum(axis=1, keepdims=True)).astype(np.float32)
+    n = words["n"].to_numpy()
+    names, own = words["word"].to_pylist(), int((n >= least(total)).sum())
+    others = float(n[own:].sum() + seen[-1])
+    shares = {word: math.log(k / others) for word, k in zip(names[own:], n[own:].tolist(), strict=True)}
+    return Vocabulary(names[:own], shares, letters.ravel(), math.log(max(seen[-1], 1) / max(others, 1)))
+
+
+def _joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of words with blanks around each, and their lengths."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    return np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8), lengths
+
+
+def _pairs(codes: np.ndarray) -> np.ndarray:
+    return codes[:-1].astype(np.int64) * 256 + codes[1:]
+
+
+def _contexts(codes: np.ndarray) -> np.ndarray:
+    """For each byte after the first: 256 times its context, and the byte.
+
+    A context is the byte before, in the low eight bits, and a hash of the one before that inside the word.
+    """
+    last, earlier = codes[:-1].astype(np.int64), np.concatenate(([32], codes[:-2])).astype(np.int64)
+    earlier[last == 32] = 32
+    mixed = (earlier * 40_503 >> 3) % (CONTEXTS >> 8)
+    return ((mixed << 8 | last) << 8) + codes[1:]
+
+
 def _lists(values: pa.Array, edges: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), values)
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """(block, ids, lengths, local, words, ns): docs (doc_id, text) in blocks of whole texts.
+def numbered(docs: DataFrame, known: Vocabulary) -> DataFrame:
+    """(ids, lengths, shares, numbers) in pieces of whole texts of docs (doc_id, text).
 
-    words and ns are a block's distinct words and their counts, local the places in words of its texts' words.
+    numbers: those of their words, as neighbours; shares: per text, the sum of log P(word | other) of its other words.
     """
+    own, shares, letters, rest = known.own, known.shares, known.letters, known.rest
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = count(TaskContext.get().partitionId() << 32)
+        of = {word: number for number, word in enumerate(own)}
         for batch in batches:
-            first, length, parts, held = 0, [], [], 0
-            seen: defaultdict[bytes, int] = defaultdict(count().__next__)
+            first, held, texts = 0, 0, []
             for row, text in enumerate(batch.column(1)):
-                words = _words(text.as_py())
-                parts.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
-                length.append(len(words))
-                held += len(words)
-                if held >= _BLOCK or row + 1 == batch.num_rows:
-                    local = np.concatenate(parts)
-                    one, all_words = np.array([0, len(length)]), np.array([0, len(seen)])
-                    columns = [
-                        pa.array([next(made)]), _lists(batch.column(0)[first : row + 1], one), _lists(pa.array(length, pa.int32()), one),
-                        pa.array([zlib.compress(local.tobytes(), 1)]), _lists(pa.array(list(seen), pa.binary()), all_words),
-                        _lists(pa.array(np.bincount(local, minlength=len(seen)), pa.int64()), all_words),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, names=["block", "ids", "lengths", "local", "words", "ns"])
-                    first, length, parts, held = row + 1, [], [], 0
-                    seen = defaultdict(count().__next__)
+                texts.append(_words(text.as_py()))
+                held += len(texts[-1])
+                if held >= _PIECE or row + 1 == batch.num_rows:
+                    yield piece(batch.column(0)[first : row + 1], texts, of)
+                    first, held, texts = row + 1, 0, []
+
+    def piece(ids: pa.Array, texts: list[list[bytes]], of: dict[bytes, int]) -> pa.RecordBatch:
+        words = [word for text in texts for word in text]
+        numbers = np.fromiter((of.get(word, -1) for word in words), np.int32, len(words))
+        chance = np.zeros(len(words))
+        other = np.flatnonzero(numbers < 0)
+        if len(other):
+            found = [words[i] for i in other.tolist()]
+            numbers[other] = [len(of) + zlib.crc32(word) % BUCKETS for word in found]
+            chance[other] = [shares.get(word, 1.0) for word in found]  # no log is above 0
+            spelled = other[chance[other] > 0]
+            if len(spelled):
+                codes, lengths = _joined([words[i] for i in spelled.tolist()])
+                starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
+                chance[spelled] = rest + np.add.reduceat(letters[_contexts(codes)].astype(np.float64), starts)
+        length = np.fromiter(map(len, texts), np.int32, len(texts))
+        ends, total = np.cumsum(length, dtype=np.int64), np.concatenate(([0.0], np.cumsum(chance)))
+        one = np.array([0, len(texts)])
+        columns = [_lists(ids, one), _lists(pa.array(length), one), _lists(pa.array(total[ends] - total[ends - length]), one)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([zlib.compress(numbers.tobytes(), 1)])], names=["ids", "lengths", "shares", "numbers"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(each, f"block long, ids array<{kind}>, lengths array<int>, local binary, words array<binary>, ns array<long>")
+    return docs.mapInArrow(each, f"ids array<{kind}>, lengths array<int>, shares array<double>, numbers binary")
 
 
-def _counts(held: DataFrame) -> DataFrame:
-    each = held.select(F.inline(F.arrays_zip("words", "ns"))).toDF("word", "n")
-    return each.groupBy("word").agg(F.sum("n").alias("n"))
+def _windows(packed: pa.Scalar, lengths: pa.Scalar, own: int, turn: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(windows, targets) of a piece: the numbers around each word, and what is to be predicted; only of a turn's words.
 
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all rows of docs (text)."""
-    return _counts(blocks(docs.select(F.lit(0).alias("doc_id"), "text")))
-
-
-def vocabulary(counts: DataFrame, total: int) -> tuple[DataFrame, int]:
-    """((word, number, share), how many numbers there are): share is log P(word | number). counts: a stored frame."""
-    own = [bytes(r["word"]) for r in counts.where(F.col("n") >= least(total)).orderBy(F.desc("n"), "word").select("word").collect()]
-    words = size(len(own))
-    known = pa.table({"word": pa.array(own, pa.binary()), "own": pa.array(range(len(own)), pa.int32())})
-    known = F.broadcast(counts.sparkSession.createDataFrame(known))
-    shared = (F.crc32("word") % (words - len(own)) + len(own)).cast("int")
-    numbered = counts.join(known, "word", "left").select("word", "n", F.coalesce("own", shared).alias("number"))
-    sums = F.broadcast(numbered.groupBy("number").agg(F.sum("n").alias("all")))  # as many rows as numbers
-    share = F.log(F.col("n").cast("double")) - F.log(F.col("all").cast("double"))
-    return numbered.join(sums, "number").select("word", "number", share.alias("share")), words
-
-
-def numbered(held: DataFrame, words: DataFrame) -> DataFrame:
-    """(ids, lengths, shares, numbers) in pieces of whole texts: the numbers of their words, and per text the sum of shares."""
-
-    def each(block: pa.Table, found: pa.Table) -> pa.Table:
-        number, share = np.zeros(found.num_rows, np.int32), np.zeros(found.num_rows)
-        at = found["place"].to_numpy()
-        number[at], share[at] = found["number"].to_numpy(), found["share"].to_numpy()
-        local = np.frombuffer(zlib.decompress(block["local"][0].as_py()), np.int32)
-        ids, length = block["ids"].chunk(0).flatten(), block["lengths"].chunk(0).flatten().to_numpy()
-        ends, total = np.cumsum(length, dtype=np.int64), np.concatenate(([0.0], np.cumsum(share[local])))
-        numbers = number[local]
-        edges = np.concatenate(([0], np.flatnonzero(np.diff(ends // _PIECE)) + 1, [len(ends)]))
-        places = np.concatenate(([0], ends))[edges]
-        pieces = [zlib.compress(numbers[a:b].tobytes(), 1) for a, b in zip(places, places[1:], strict=False)]
-        columns = [_lists(ids, edges), _lists(pa.array(length, pa.int32()), edges), _lists(pa.array(total[ends] - total[ends - length]), edges), pa.array(pieces, pa.binary())]
-        return pa.Table.from_arrays(columns, names=["ids", "lengths", "shares", "numbers"])
-
-    told = held.select(F.col("block").alias("of"), F.posexplode("words").alias("place", "word")).join(words, "word").select("of", "place", "number", "share")
-    kind = held.schema["ids"].dataType.simpleString()
-    pieces = held.select("block", "ids", "lengths", "local").groupBy("block").cogroup(told.groupBy("of"))
-    return pieces.applyInArrow(each, f"ids {kind}, lengths array<int>, shares array<double>, numbers binary")
-
-
-def _windows(packed: pa.Array, lengths: pa.Array, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(windows, targets) of each piece: the numbers around each word, and of the word. Between texts lies a number of none."""
-    around = [o for o in range(-REACH, REACH + 1) if o]
-    for piece, length in zip(packed, lengths, strict=True):
-        numbers = np.frombuffer(zlib.decompress(piece.as_py()), np.int32)
-        length = length.values.to_numpy()
-        flat = np.full(len(numbers) + REACH * (len(length) + 1), words, np.int32)
-        centres = np.arange(len(numbers)) + REACH * (np.repeat(np.arange(len(length)), length) + 1)
-        flat[centres] = numbers
-        yield np.stack([flat[centres + o] for o in around]), numbers
+    Between texts lies a number of none.
+    """
+    numbers, length = np.frombuffer(zlib.decompress(packed.as_py()), np.int32), lengths.values.to_numpy()
+    flat = np.full(len(numbers) + REACH * (len(length) + 1), own + BUCKETS, np.int32)
+    centres = np.arange(len(numbers)) + REACH * (np.repeat(np.arange(len(length)), length) + 1)
+    flat[centres] = numbers
+    chosen = slice(turn, None, ROUNDS) if turn is not None else slice(None)
+    around = np.array([o for o in range(-REACH, REACH + 1) if o])
+    return flat[centres[chosen][None] + around[:, None]], np.minimum(numbers[chosen], own)
 
 
 def _softmax(values: np.ndarray) -> np.ndarray:
@@ -273,79 +346,88 @@ def _log_small(logits: np.ndarray) -> np.ndarray:
     return np.log(np.exp(logits, out=logits).sum(axis=1))
 
 
-def train(pieces: DataFrame, words: int) -> np.ndarray:
+def train(pieces: DataFrame, own: int, total: int) -> np.ndarray:
     """What the partitions of pieces learn from every word, in ROUNDS rounds from their average on."""
-    both = np.concatenate((start(words), np.full(len(start(words)), 1e-3, np.float32)))
-    half = len(both) // 2
+    both = np.concatenate((start(own), np.full(len(start(own)), 1e-3, np.float32)))
+    half, size = len(both) // 2, batch_size(total)
 
-    def one(turns: list[int], both: np.ndarray) -> np.ndarray:
+    def one(turn: int, both: np.ndarray) -> np.ndarray:
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mine, seen = both.copy(), 0
-            model, squares = _shaped(mine[:half], words), _shaped(mine[half:], words)
+            model, squares = _shaped(mine[:half], own), _shaped(mine[half:], own)
             held: list[tuple[np.ndarray, np.ndarray]] = []
 
             def learn() -> None:
                 windows, targets = (np.concatenate(x, axis=-1) for x in zip(*held, strict=True))
                 held.clear()
-                chosen = np.flatnonzero(np.isin(np.arange(len(targets)) % MASKED, turns))
-                chosen = np.random.default_rng(len(targets)).permutation(chosen)
-                for part in np.array_split(chosen, max(1, round(len(chosen) / BATCH))):
+                shuffled = np.random.default_rng(len(targets)).permutation(len(targets))
+                for part in np.array_split(shuffled, max(1, round(len(shuffled) / size))):
                     if len(part):
                         step(model, squares, windows[:, part], targets[part])
 
             for batch in batches:
-                for windows, targets in _windows(batch.column(1), batch.column(0), words):
-                    held.append((windows, targets))
-                    seen += len(targets)
-                    if sum(len(t) for _, t in held) >= _PIECE:  # small pieces learn together, in whole batches
+                for lengths, numbers in zip(*batch.columns, strict=True):
+                    held.append(_windows(numbers, lengths, own, turn))
+                    seen += len(held[-1][1])
+                    if sum(len(t) for _, t in held) >= 4 * size:  # small pieces learn together, in whole batches
                         learn()
             if held:
                 learn()
             if seen:
-                places = range(0, len(mine), _SLICE)
-                slices = pa.array([(mine[p : p + _SLICE].astype(np.float64) * seen).tobytes() for p in places], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(list(places), pa.int64()), pa.array([seen] * len(places), pa.int64()), slices], names=["place", "n", "weights"])
+                places = list(range(0, len(mine), _SLICE))
+                slices = pa.array([mine[p : p + _SLICE].tobytes() for p in places], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array([seen] * len(places), pa.int64()), slices], names=["place", "n", "weights"])
 
         def mean(key: tuple[pa.Scalar, ...], copies: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, n = 0.0, 0
             for batch in copies:
                 for weights, seen in zip(batch["weights"], batch["n"], strict=True):
-                    total, n = total + np.frombuffer(weights.as_py()), n + seen.as_py()
+                    total, n = total + np.frombuffer(weights.as_py(), np.float32).astype(np.float64) * seen.as_py(), n + seen.as_py()
             yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([(total / n).astype(np.float32).tobytes()])], names=["place", "weights"])
 
         learnt = pieces.select("lengths", "numbers").mapInArrow(each, "place long, n long, weights binary")
         rows = learnt.groupBy("place").applyInArrow(mean, "place long, weights binary").collect()  # one model
         return np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(rows)]) if rows else both
 
-    for r in range(ROUNDS):
-        both = one(list(range(r, MASKED, ROUNDS)), both)
+    for turn in range(ROUNDS):
+        both = one(turn, both)
     return both[:half]
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, log_likelihood, mean_log_likelihood) for every row of docs, by a model trained on all of them.
-
-    Null and empty texts have no words, a sum of 0 and a null mean. Repeated rows count and are scored each; other
-    columns are not read. An empty table gives an empty result.
-    """
-    held = stored(blocks(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))))
-    counts = stored(_counts(held))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    known, words = vocabulary(counts, total)
-    pieces = settled(numbered(held, known).repartition(trainers(total)))
-    flat = train(pieces, words)
+def scored(pieces: DataFrame, own: int, flat: np.ndarray) -> DataFrame:
+    """(doc_id, n_words, log_likelihood, mean_log_likelihood) of the texts in pieces, by a model's weights."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _shaped(flat, words)
+        model = _shaped(flat, own)
         for batch in batches:
             sums = [np.zeros(0)]
-            for (windows, targets), length in zip(_windows(batch.column(3), batch.column(1), words), batch.column(1), strict=True):
+            for lengths, numbers in zip(batch.column(1), batch.column(3), strict=True):
+                windows, targets = _windows(numbers, lengths, own)
                 chances = np.concatenate(([0.0], np.cumsum(log_chances(model, windows, targets), dtype=np.float64))) if len(targets) else np.zeros(1)
-                ends = np.cumsum(length.values.to_numpy())
-                sums.append(chances[ends] - chances[ends - length.values.to_numpy()])
+                length = lengths.values.to_numpy()
+                ends = np.cumsum(length)
+                sums.append(chances[ends] - chances[ends - length])
             n, total = batch.column(1).flatten().to_numpy(), np.concatenate(sums) + batch.column(2).flatten().to_numpy()
             mean = pa.array(np.where(n > 0, total / np.maximum(n, 1), 0.0), mask=n == 0)
             yield pa.RecordBatch.from_arrays([batch.column(0).flatten(), pa.array(n.astype(np.int64)), pa.array(total), mean], names=["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
 
     kind = pieces.schema["ids"].dataType.elementType.simpleString()
     return pieces.mapInArrow(each, f"doc_id {kind}, n_words long, log_likelihood double, mean_log_likelihood double")
+
+
+def fitted(docs: DataFrame) -> tuple[DataFrame, Vocabulary, np.ndarray]:
+    """(pieces, vocabulary, weights) from all rows of docs (doc_id, text)."""
+    total = docs.agg(F.sum(n_words(F.coalesce("text", F.lit(""))))).first()[0] or 0
+    known = vocabulary(word_counts(docs), total)
+    pieces = settled(numbered(docs, known).repartition(trainers(total)))
+    return pieces, known, train(pieces, len(known.own), total)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_words, log_likelihood, mean_log_likelihood) for every row of docs, by a model trained on all of them.
+
+    Null and empty texts have no words, a sum of 0 and a null mean. Repeated rows count and are scored each; other
+    columns are not read. An empty table gives an empty result.
+    """
+    pieces, known, flat = fitted(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    return scored(pieces, len(known.own), flat)
