@@ -49,6 +49,17 @@ def _shared(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def fresh(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted names, with underscores before those that are taken, case aside."""
+    names, out = {name.lower() for name in taken}, []
+    for name in wanted:
+        while name.lower() in names:
+            name = f"_{name}"
+        names.add(name.lower())
+        out.append(name)
+    return out
+
+
 def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
     """df, broadcast if it has at most so many rows; else a join with it stays a shuffle. df: a settled or tiny frame."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covenant.llm.common import BLANKS, broadcast_up_to, settled
+from covenant.llm.common import BLANKS, broadcast_up_to, fresh, settled
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -117,6 +117,12 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     shingle and are similar to nothing. Rows of the same id and text are one document. Null ids keep their row. Other
     columns are not read; an empty table on either side gives an empty result.
     """
+    found = _matches(docs, items, id_col, text_col, item_col, item_text_col)
+    return found.select(F.col("doc.id").alias("doc_id"), "item_id", "similarity", "start", "n_windows")
+
+
+def _matches(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(doc, item_id, similarity, start, n_windows), doc being the id and a hash of the text."""
     text = F.col(text_col)
     doc = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("text"))
     docs = docs.select(doc.alias("doc"), _words(text).alias("words"))
@@ -142,7 +148,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         matched.groupBy("doc", "item")
         .agg(F.max(best).alias("best"), F.count(F.lit(1)).alias("n_windows"))
         .select(
-            F.col("doc.id").alias("doc_id"),
+            "doc",
             F.col("item").alias("item_id"),
             F.col("best.similarity").alias("similarity"),
             (-F.col("best.start")).alias("start"),
@@ -169,6 +175,12 @@ def _verified(candidates: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that no item contaminates, all columns as they are. Null ids have no row to name and stay."""
-    found = contamination(docs, items, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(found, id_col, "left_anti")
+    """The rows of docs that no item contaminates, all columns as they are.
+
+    Rows are told by id and text, null ids included: a row that only shares its id with a contaminated one stays.
+    """
+    id_name, mark = fresh(docs.columns, "id", "mark")
+    found = _matches(docs, items, id_col, text_col).select("doc").distinct()
+    found = found.select(F.col("doc.id").alias(id_name), F.col("doc.text").alias(mark))
+    same = F.col(id_col).eqNullSafe(F.col(id_name)) & (F.xxhash64(F.col(text_col)) == F.col(mark))
+    return docs.join(found, same, "left_anti")

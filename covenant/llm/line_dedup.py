@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from covenant.llm.common import BLANKS, broadcast_up_to, n_words, settled
+from covenant.llm.common import WORD, broadcast_up_to, fresh, n_words, settled
 
 LEAST_WORDS = 50
 #: Up to so many documents with deleted lines are broadcast to the texts; beyond, the texts are shuffled.
@@ -39,14 +39,20 @@ def _lines(text: Column) -> Column:
 
 def _worded(lines: Column) -> Column:
     """The lines with a word."""
-    return F.filter(lines, lambda line: F.length(F.regexp_replace(line, BLANKS, "")) > 0)
+    return F.filter(lines, _has_word)
+
+
+def _has_word(line: Column) -> Column:
+    return line.rlike(WORD)
 
 
 def _positions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, place, h1, h2, words): the lines with a word. doc: the id and a hash of the text."""
     text = F.col(text_col)
     doc = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("text"))
-    lines = docs.select(doc.alias("doc"), F.posexplode(_worded(_lines(text))).alias("place", "line"))
+    # first the document, then its lines: the text would be hashed again for every one of them
+    texts = docs.select(doc.alias("doc"), _worded(_lines(text)).alias("lines"))
+    lines = texts.select("doc", F.posexplode("lines").alias("place", "line"))
     two = (F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     return lines.select("doc", "place", *two, n_words(F.col("line")).alias("words"))
 
@@ -58,7 +64,8 @@ def _ranked(counted: DataFrame, *key: str) -> DataFrame:
 
 
 def _runs(repeated: DataFrame, least_words: int) -> DataFrame:
-    """(doc, lines): a document's repeated lines in order, each with the lengths of the runs from it and up to it (or 0).
+    """(doc, lines, places, aheads, ranks): a document's repeated lines in order, each with the lengths of the runs from
+    it (ahead) and up to it (back), or 0, and some of their fields as lists of their own.
 
     Stretches of fewer than least_words words in total are left out.
     """
@@ -88,7 +95,9 @@ def _runs(repeated: DataFrame, least_words: int) -> DataFrame:
             F.coalesce(F.col("place") + 1 - starts, F.lit(0)).alias("back"),
         ).alias("line"),
     )
-    return rows.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    rows = rows.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    # ranks[i] belongs to lines[i]; null once the suffix has no other one with the same prefix
+    return rows.select("doc", "lines", *(F.col(f"lines.{c}").alias(f"{c}s") for c in ("place", "ahead", "rank")))
 
 
 def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
@@ -100,8 +109,6 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = _positions(docs, id_col, text_col)
     ranks = _ranked(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")), "h1", "h2")
     held = settled(_runs(lines.join(ranks, ["h1", "h2"]), least_words))
-    # ranks[i] belongs to lines[i]; null once the suffix has no other one with the same prefix
-    held = held.withColumn("ranks", F.col("lines.rank"))
     found, k = [], 0
     while True:
         found.append(_intervals(held, k))
@@ -124,23 +131,30 @@ def _intervals(held: DataFrame, k: int) -> DataFrame:
     """(doc, start, length, first_rank, last_rank): the runs of 2^k up to 2^(k+1) - 1 lines, named by their ranks."""
     size = 1 << k
 
-    def run(start: Column, length: Column) -> Column:
+    def run(start: Column, place: Column, length: Column) -> Column:
         return F.struct(
-            start.cast("int").alias("at"),
+            place.cast("int").alias("place"),
             length.alias("length"),
             F.get("ranks", start).alias("first_rank"),
             F.get("ranks", start + length - size).alias("last_rank"),
         )
 
-    ahead = F.transform("lines", lambda line, i: run(i, line["ahead"]))
-    back = F.transform("lines", lambda line, i: run(i + 1 - line["back"], line["back"]))
+    ahead = F.transform("lines", lambda line, i: run(i, line["place"], line["ahead"]))
+    # the lines of a run follow one another, so its first place is known from its last; a run that is also the run from its
+    # first line is there already
+    back = F.transform(
+        "lines",
+        lambda line, i: F.when(
+            F.get("aheads", i + 1 - line["back"]) != line["back"],
+            run(i + 1 - line["back"], line["place"] + 1 - line["back"], line["back"]),
+        ),
+    )
     fits = F.filter(
         F.concat(ahead, back),
         lambda r: (r["length"] >= size) & (r["length"] < 2 * size) & r["first_rank"].isNotNull() & r["last_rank"].isNotNull(),
     )
-    rows = held.select("doc", "lines", F.explode(F.array_distinct(fits)).alias("run"))
-    place = F.get(F.col("lines.place"), F.col("run.at"))
-    return rows.select("doc", place.alias("start"), "run.length", "run.first_rank", "run.last_rank", F.lit(k).alias("k")).drop("k")
+    rows = held.select("doc", F.explode(fits).alias("run"))
+    return rows.select("doc", F.col("run.place").alias("start"), "run.length", "run.first_rank", "run.last_rank")
 
 
 def _doubled(held: DataFrame, size: int) -> DataFrame:
@@ -148,16 +162,19 @@ def _doubled(held: DataFrame, size: int) -> DataFrame:
     pairs = F.transform(
         "lines",
         lambda line, i: F.when(
-            F.get(F.col("lines.place"), i + size) == line["place"] + size,
+            F.get("places", i + size) == line["place"] + size,
             F.struct(i.alias("at"), F.get("ranks", i).alias("one"), F.get("ranks", i + size).alias("two")),
         ),
     )
     rows = held.select("doc", F.explode(pairs).alias("pair")).select("doc", "pair.at", "pair.one", "pair.two")
     rows = settled(rows.where("one IS NOT NULL AND two IS NOT NULL"))
     ranks = _ranked(rows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")), "one", "two")
-    new = rows.join(ranks, ["one", "two"]).groupBy("doc").agg(F.map_from_entries(F.collect_set(F.struct("at", "rank"))).alias("new"))
-    held = held.drop("ranks").join(new, "doc")
-    return held.select("doc", "lines", F.transform("lines", lambda _, i: F.try_element_at("new", i)).alias("ranks"))
+    new = rows.join(ranks, ["one", "two"]).groupBy("doc").agg(F.collect_set(F.struct("at", "rank")).alias("new"))
+    held = held.join(new, "doc")
+    every = F.sequence(F.lit(0), F.size("lines") - 1)
+    without = F.transform(F.array_except(every, F.transform("new", lambda n: n["at"])), lambda at: F.struct(at.alias("at"), F.lit(None).cast("long").alias("rank")))
+    dense = F.transform(F.array_sort(F.concat("new", without)), lambda n: n["rank"])
+    return held.select("doc", "lines", "places", "aheads", dense.alias("ranks"))
 
 
 def _deleted(copies: DataFrame) -> DataFrame:
@@ -172,38 +189,41 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A text that loses all its lines with a word becomes empty. Null texts stay null and have no lines, an empty table
     stays empty. Rows with the same id and text are one document, so a repeated row is no copy of itself.
     """
-    texts, _ = _cleaned(docs, id_col, text_col, least_words)
-    return texts.select(*(F.col("__text").alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    gone, kept = fresh(docs.columns, "gone", "kept")
+    texts = _cleaned(docs, id_col, text_col, least_words, gone, kept)
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    return texts.select(*(text.alias(c) if c == text_col else F.col("`" + c.replace("`", "``") + "`") for c in docs.columns))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, n_lines, n_deleted, text): for every row of docs its lines, how many were deleted, and what is left."""
-    texts, lines = _cleaned(docs, id_col, text_col, least_words)
-    gone = F.coalesce(F.size("__gone"), F.lit(0))
-    n = F.coalesce(F.size(lines), F.lit(0))
-    return texts.select(F.col(id_col).alias("doc_id"), n.alias("n_lines"), gone.alias("n_deleted"), F.col("__text").alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = _cleaned(docs, "doc_id", "text", least_words, "gone", "kept")
+    deleted = F.coalesce(F.size("gone"), F.lit(0))
+    n = F.coalesce(F.size("kept") + deleted, F.size(_lines(F.col("text"))), F.lit(0))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
+    return texts.select("doc_id", n.alias("n_lines"), deleted.alias("n_deleted"), text.alias("text"))
+
 
+def _cleaned(docs: DataFrame, id_col: str, text_col: str, least_words: int, gone: str, kept: str) -> DataFrame:
+    """docs with gone, the numbers of a text's deleted lines among those with a word, and kept, its other lines.
 
-def _cleaned(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> tuple[DataFrame, Column]:
-    gone = _deleted(later_copies(docs, id_col, text_col, least_words))
-    gone = gone.select(F.col("doc.id").alias("__id"), F.col("doc.text").alias("__hash"), F.col("gone").alias("__gone"))
-    gone = broadcast_up_to(settled(gone), MOST_BROADCAST)
+    Both are null where nothing is deleted. Each list is made in a generator's row: a projection might be merged with
+    the one above it, and its value then be computed again for every element that is looked up in it.
+    """
+    id_name, text_name, lines, worded, left = fresh([*docs.columns, gone, kept], "id", "hash", "lines", "worded", "left")
+    found = _deleted(later_copies(docs, id_col, text_col, least_words))
+    found = found.select(F.col("doc.id").alias(id_name), F.col("doc.text").alias(text_name), F.col("gone").alias(gone))
+    found = broadcast_up_to(settled(found), MOST_BROADCAST)
     text = F.col(text_col)
-    both = docs[id_col].eqNullSafe(gone["__id"]) & (F.xxhash64(docs[text_col]) == gone["__hash"])
-    lines = _lines(text)
-    marked = F.aggregate(
-        lines,
-        F.struct(F.lit(-1).alias("at"), F.array().cast("array<string>").alias("kept")),
-        lambda state, line: _step(state, line),
-    )
-    kept = F.array_join(marked["kept"], "\n")
-    joined = docs.join(gone, both, "left")
-    return joined.withColumn("__text", F.when(F.col("__gone").isNull(), text).otherwise(kept)), lines
+    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col(id_name)) & (F.xxhash64(text) == F.col(text_name)), "left")
 
+    def made(df: DataFrame, column: Column, name: str) -> DataFrame:
+        return df.select("*", F.explode(F.array(F.when(F.col(gone).isNotNull(), column))).alias(name))
 
-def _step(state: Column, line: Column) -> Column:
-    """Counts lines with a word and keeps a line unless its number is deleted."""
-    worded = F.length(F.regexp_replace(line, BLANKS, "")) > 0
-    at = F.when(worded, state["at"] + 1).otherwise(state["at"])
-    out = worded & F.array_contains("__gone", state["at"] + 1)
-    return F.struct(at.alias("at"), F.when(out, state["kept"]).otherwise(F.array_append(state["kept"], line)).alias("kept"))
+    rows = made(joined, _lines(text), lines)
+    places = F.filter(F.transform(lines, lambda line, i: F.when(_has_word(line), i)), lambda i: i.isNotNull())
+    rows = made(rows, places, worded)
+    every = F.sequence(F.lit(0), F.size(lines) - 1)
+    rows = made(rows, F.array_except(every, F.transform(gone, lambda i: F.get(worded, i))), left)
+    return rows.withColumn(kept, F.transform(left, lambda i: F.get(lines, i)))

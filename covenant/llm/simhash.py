@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covenant.llm.common import components, settled
+from covenant.llm.common import components, fresh, settled
 
 RADIUS = 3
 SIX = 6
@@ -160,10 +160,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without near copies: of each group the rows of the smallest doc_id stay, all columns as they are.
+    """The rows of docs without near copies, all columns as they are.
 
-    Rows that share that doc_id are repeated rows of one document and stay together; null ids have no group and stay.
+    Of each group the rows stay that have its smallest doc_id and, of texts with that id, the smallest hash: repeated rows of
+    one document stay together. Null ids come after all others. Rows are told by id and text, so a row that only shares its
+    id with one that goes is not touched.
     """
-    groups = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id")
-    others = groups.select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(others, id_col, "left_anti")
+    told = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    told = told.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark")).alias("doc_id"), "text")
+    gone = near_duplicates(told).where("doc_id <> component_id").select("doc_id").distinct()
+    id_name, mark = fresh(docs.columns, "id", "mark")
+    gone = gone.select(F.col("doc_id.id").alias(id_name), F.col("doc_id.mark").alias(mark))
+    same = F.col(id_col).eqNullSafe(F.col(id_name)) & (F.xxhash64(F.col(text_col)) == F.col(mark))
+    return docs.join(gone, same, "left_anti")

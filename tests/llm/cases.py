@@ -22,7 +22,9 @@ ODD = [
     (7, "é" * 70_000 + " \U0001f600 end", "e"),
 ]
 #: Columns whose names operators use inside.
-CLASHES = "rank", "fp", "doc", "words", "place", "start", "length", "hash", "n", "label", "kept", "text_", "offset", "lines"
+CLASHES = ("rank", "fp", "doc", "words", "place", "start", "length", "hash", "n", "label", "kept", "text_", "offset", "lines")
+#: Names that helper columns would have.
+CLASHES += ("gone", "__gone", "__id", "__hash", "__text", "id", "worded", "left", "mark", "component_id", "__group")
 
 
 def odd(spark: SparkSession) -> DataFrame:

@@ -47,6 +47,14 @@ def test_odd_rows(spark):
     found = sorted((r["doc_id"], r["item_id"], r["similarity"]) for r in contamination(docs, items).collect())
     assert found == [(5, 1, 1.0), (6, 1, 1.0)]
     left = without_contaminated(docs, items)
-    assert left.columns == docs.columns and left.count() == len(ODD) - 4
+    assert left.columns == docs.columns and left.count() == len(ODD) - 3
     assert contamination(docs.limit(0), items).count() == 0
     assert contamination(docs, items.limit(0)).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    item = " ".join(f"word{i}" for i in range(30))
+    rows = [(None, f"start {item} end"), (None, "nothing of it at all"), (1, f"before {item}"), (1, "a clean text"), (None, None)]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = without_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert sorted(((r["doc_id"] or 0, r["text"] or "") for r in left)) == [(0, ""), (0, "nothing of it at all"), (1, "a clean text")]

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import defaultdict
 
 import pytest
@@ -63,3 +64,14 @@ def test_sources_are_the_earliest(spark):
     runs = later_copies(docs).collect()
     assert sorted(r["doc"]["id"] for r in runs) == [1, 2, 3, 4]
     assert {(r["source"]["doc"]["id"], r["source"]["start"], r["start"], r["length"]) for r in runs} == {(0, 1, 1, 1)}
+
+
+def test_many_lines_in_one_text(spark):
+    """Two texts of 60,000 lines each, half of the second copied from the first."""
+    lines = [f"line number {i} of some words that are told" for i in range(60_000)]
+    other = [line if i % 100 < 50 else f"own {i}" for i, line in enumerate(lines)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(other))], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(docs).collect()}
+    assert got == {1: "\n".join(lines), 2: "\n".join(line for line in other if line.startswith("own"))}
+    assert time.time() - began < 120

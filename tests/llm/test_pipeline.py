@@ -20,7 +20,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     assert set(QUERIES) | {"pipeline"} <= set(queries()) and set(ORACLE) <= set(oracle_sql())
-    assert sorted(int(n[2 : n.index("_")]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2 : n.index("_")]) for n in QUERIES) == list(range(1, 14))
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
     assert all(list(inspect.signature(f).parameters) == ["spark", "docs", "sf_dir"] for _, f in corpus_pipeline.STAGES)
 

@@ -73,5 +73,15 @@ def test_odd_rows(spark):
     assert {r["component_id"] for r in rows if r["doc_id"] in (1, 2, 3)} == {1}  # all without a word
     kept = keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 4, 5, 7]
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 4, 5, 6, 7]
     assert near_duplicates(docs.limit(0)).count() == 0 and keep_one(docs.limit(0)).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    """Decisions hold for the text they were made on."""
+    text = [" ".join(f"{w}{i}" for i in range(60)) for w in "abc"]
+    rows = [(None, text[0]), (None, text[0]), (1, text[1]), (1, text[2]), (2, text[2]), (None, text[1]), (3, text[0])]
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, text[1]), (1, text[2]), (3, text[0])]
+    alone = keep_one(spark.createDataFrame([(None, text[0]), (None, text[0]), (None, text[1])], "doc_id long, text string"))
+    assert sorted(r["text"] for r in alone.collect()) == [text[0], text[0], text[1]]
