@@ -13,7 +13,7 @@ A text's score is the sum of log P(word | REACH words on either side) over its w
   anew, so that their steps follow the number of words and not how the input is split. A word's place modulo ROUNDS says
   in which round it is masked; after each, copies and their gradients' squares are averaged by the number of words, in
   slices, in a shuffle, and all go on from there.
-* What reaches the driver and each task: with r the cube root of the number of words, at most 64 r words with numbers
+* What reaches the driver and each task: with r the cube root of the number of words, at most 32 r words with numbers
   and one model over these, at most 1024 r further words, and 2^20 chances of letters. Shuffled are the counts of words,
   the numbers once, and the copies.
 
@@ -55,7 +55,7 @@ Model = dict[str, np.ndarray]
 
 def least(total: int) -> int:
     """From so many occurrences on, a word has a number of its own."""
-    return max(1, int(total ** (2 / 3)) // 64)
+    return max(1, int(total ** (2 / 3)) // 32)
 
 
 def listed(total: int) -> int:
