@@ -24,9 +24,10 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from covenant.llm.common import n_words, settled
 REACH = 2
 #: Numbers that neighbours without one of their own share.
 BUCKETS = 512
-WIDTH, HIDDEN = 16, 32
+WIDTH, HIDDEN = 16, 24
 #: Contexts of a byte, and how many seen bytes the byte's chance after the last byte alone counts for.
 CONTEXTS, PRIOR = 1 << 12, 4
 ROUNDS = 8
@@ -105,13 +106,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all rows of docs (text)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: defaultdict[bytes, int] = defaultdict(int)
+        seen: Counter[bytes] = Counter()
         held = 0
         for batch in batches:
             for text in batch.column(0):
                 words = _words(text.as_py())
-                for word in words:
-                    seen[word] += 1
+                seen.update(words)
                 held += len(words)
                 if held >= _BLOCK:
                     yield from told(seen)
@@ -186,7 +186,7 @@ def _joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pairs(codes: np.ndarray) -> np.ndarray:
-    return codes[:-1].astype(np.int64) * 256 + codes[1:]
+    return codes[:-1].astype(np.int32) * 256 + codes[1:]
 
 
 def _contexts(codes: np.ndarray) -> np.ndarray:
@@ -194,7 +194,7 @@ def _contexts(codes: np.ndarray) -> np.ndarray:
 
     A context is the byte before, in the low eight bits, and a hash of the one before that inside the word.
     """
-    last, earlier = codes[:-1].astype(np.int64), np.concatenate(([32], codes[:-2])).astype(np.int64)
+    last, earlier = codes[:-1].astype(np.int32), np.concatenate(([32], codes[:-2])).astype(np.int32)
     earlier[last == 32] = 32
     mixed = (earlier * 40_503 >> 3) % (CONTEXTS >> 8)
     return ((mixed << 8 | last) << 8) + codes[1:]
@@ -212,30 +212,30 @@ def numbered(docs: DataFrame, known: Vocabulary) -> DataFrame:
     own, shares, letters, rest = known.own, known.shares, known.letters, known.rest
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = {word: number for number, word in enumerate(own)}
+        of = {word: place for place, word in enumerate([*own, *shares])}
+        hashed = [len(own) + zlib.crc32(word) % BUCKETS for word in shares]
+        number_of = np.array([*range(len(own)), *hashed, 0], np.int32)
+        share_of = np.array([0.0] * len(own) + [*shares.values(), rest])  # the last is for words without a place
         for batch in batches:
             first, held, texts = 0, 0, []
             for row, text in enumerate(batch.column(1)):
                 texts.append(_words(text.as_py()))
                 held += len(texts[-1])
                 if held >= _PIECE or row + 1 == batch.num_rows:
-                    yield piece(batch.column(0)[first : row + 1], texts, of)
+                    yield piece(batch.column(0)[first : row + 1], texts, of, number_of, share_of)
                     first, held, texts = row + 1, 0, []
 
-    def piece(ids: pa.Array, texts: list[list[bytes]], of: dict[bytes, int]) -> pa.RecordBatch:
-        words = [word for text in texts for word in text]
-        numbers = np.fromiter((of.get(word, -1) for word in words), np.int32, len(words))
-        chance = np.zeros(len(words))
-        other = np.flatnonzero(numbers < 0)
-        if len(other):
-            found = [words[i] for i in other.tolist()]
-            numbers[other] = [len(of) + zlib.crc32(word) % BUCKETS for word in found]
-            chance[other] = [shares.get(word, 1.0) for word in found]  # no log is above 0
-            spelled = other[chance[other] > 0]
-            if len(spelled):
-                codes, lengths = _joined([words[i] for i in spelled.tolist()])
-                starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
-                chance[spelled] = rest + np.add.reduceat(letters[_contexts(codes)].astype(np.float64), starts)
+    def piece(ids: pa.Array, texts: list[list[bytes]], of: dict[bytes, int], number_of: np.ndarray, share_of: np.ndarray) -> pa.RecordBatch:
+        words = list(chain.from_iterable(texts))
+        place = np.fromiter(map(of.get, words, repeat(-1)), np.int32, len(words))
+        numbers, chance = number_of[place], share_of[place]
+        spelled = np.flatnonzero(place < 0)
+        if len(spelled):
+            found = [words[i] for i in spelled.tolist()]
+            numbers[spelled] = len(own) + np.fromiter(map(zlib.crc32, found), np.int64, len(found)) % BUCKETS
+            codes, lengths = _joined(found)
+            starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
+            chance[spelled] += np.add.reduceat(letters[_contexts(codes)], starts, dtype=np.float64)
         length = np.fromiter(map(len, texts), np.int32, len(texts))
         ends, total = np.cumsum(length, dtype=np.int64), np.concatenate(([0.0], np.cumsum(chance)))
         one = np.array([0, len(texts)])
