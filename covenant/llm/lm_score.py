@@ -25,7 +25,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain, repeat
 
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covenant.llm.common import n_words, settled
+from covenant.llm.common import settled
 
 REACH = 2
 #: Numbers that neighbours without one of their own share.
@@ -48,6 +48,8 @@ RATE = 0.2
 BATCHES, STEPS = (512, 8192), 64
 #: Words that are counted together, and words of a piece that is read at once.
 _BLOCK, _PIECE = 1 << 21, 1 << 16
+#: Words that are scored at once.
+_PART = 1 << 13
 #: Weights that are averaged in one row.
 _SLICE = 1 << 14
 
@@ -102,6 +104,16 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def word_total(docs: DataFrame) -> int:
+    """How many words all rows of docs (text) have."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = sum(len((text.as_py() or "").encode().split()) for batch in batches for text in batch.column(0))
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    return docs.select("text").mapInArrow(each, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all rows of docs (text)."""
 
@@ -261,8 +273,15 @@ def _windows(packed: pa.Scalar, lengths: pa.Scalar, own: int, turn: int | None =
 
 
 def _softmax(values: np.ndarray) -> np.ndarray:
-    values = np.exp(values - values.max(axis=1, keepdims=True))
-    return values / values.sum(axis=1, keepdims=True)
+    """Softmax by row, in place: large arrays of their own would cost more than the arithmetic."""
+    values -= values.max(axis=1, keepdims=True)
+    np.exp(values, out=values)
+    values /= _row_sums(values)[:, None]
+    return values
+
+
+def _row_sums(values: np.ndarray) -> np.ndarray:
+    return values @ np.ones(values.shape[1], values.dtype)
 
 
 def step(model: Model, squares: Model, windows: np.ndarray, targets: np.ndarray) -> float:
@@ -273,8 +292,12 @@ def step(model: Model, squares: Model, windows: np.ndarray, targets: np.ndarray)
     kind, place, every = targets % side, targets // side, np.arange(n)
     near = model["embedding"][windows.T].reshape(n, -1)  # (n, places x width)
     places = model["places"].reshape(-1, HIDDEN)
-    hidden = np.tanh(near @ places + model["bias"])
-    off_class = _softmax(hidden @ model["classes"] + model["class_bias"])
+    hidden = near @ places
+    hidden += model["bias"]
+    np.tanh(hidden, out=hidden)
+    logits = hidden @ model["classes"]
+    logits += model["class_bias"]
+    off_class = _softmax(logits)
     score = np.log(off_class[every, kind]).sum()
     off_class[every, kind] -= 1
     back = off_class @ model["classes"].T
@@ -282,7 +305,9 @@ def step(model: Model, squares: Model, windows: np.ndarray, targets: np.ndarray)
     for c, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
         if b > a:
             mine, weights, at = hidden[a:b], model["words"][c], place[a:b]
-            off = _softmax(mine @ weights + model["word_bias"][c])
+            logits = mine @ weights
+            logits += model["word_bias"][c]
+            off = _softmax(logits)
             score += np.log(off[every[: b - a], at]).sum()
             off[every[: b - a], at] -= 1
             back[a:b] += off @ weights.T
@@ -312,18 +337,25 @@ def _learn(weights: np.ndarray, squares: np.ndarray, slope: np.ndarray, n: int)
 
 
 def log_chances(model: Model, windows: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """log P(target | window) for each word."""
+    """log P(target | window) for each word, in parts whose arrays stay small."""
     tables = [model["embedding"] @ model["places"][k] for k in range(2 * REACH)]
-    hidden = tables[0][windows[0]] + model["bias"]
+    # hidden lies within -1 and 1: with small weights no exponential overflows, and no maximum needs to be taken out
+    most = max(float(np.abs(model["classes"]).sum(axis=0).max()), float(np.abs(model["words"]).sum(axis=1).max()))
+    log_total = _log_total if most + max(map(float, (np.abs(model[b]).max() for b in ("class_bias", "word_bias")))) > 60 else _log_small
+    parts = [slice(at, at + _PART) for at in range(0, len(targets), _PART)]
+    return np.concatenate([np.zeros(0, np.float32), *(_part_chances(model, tables, windows[:, p], targets[p], log_total) for p in parts)])
+
+
+def _part_chances(model: Model, tables: list[np.ndarray], windows: np.ndarray, targets: np.ndarray, log_total: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    hidden = tables[0][windows[0]]
+    hidden += model["bias"]
     for table, numbers in zip(tables[1:], windows[1:], strict=True):
         hidden += table[numbers]
     np.tanh(hidden, out=hidden)
     side = len(model["words"])
     kind, place, every = targets % side, targets // side, np.arange(len(targets))
-    logits = hidden @ model["classes"] + model["class_bias"]
-    # hidden lies within -1 and 1: with small weights no exponential overflows, and no maximum needs to be taken out
-    most = max(float(np.abs(model["classes"]).sum(axis=0).max()), float(np.abs(model["words"]).sum(axis=1).max()))
-    log_total = _log_total if most + max(map(float, (np.abs(model[b]).max() for b in ("class_bias", "word_bias")))) > 60 else _log_small
+    logits = hidden @ model["classes"]
+    logits += model["class_bias"]
     out = logits[every, kind]
     out -= log_total(logits)
     order = np.argsort(kind, kind="stable")
@@ -331,7 +363,8 @@ def log_chances(model: Model, windows: np.ndarray, targets: np.ndarray) -> np.nd
     for c, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
         if b > a:
             mine = order[a:b]
-            logits = hidden[mine] @ model["words"][c] + model["word_bias"][c]
+            logits = hidden[mine] @ model["words"][c]
+            logits += model["word_bias"][c]
             out[mine] += logits[np.arange(b - a), place[mine]]
             out[mine] -= log_total(logits)
     return out
@@ -339,11 +372,12 @@ def log_chances(model: Model, windows: np.ndarray, targets: np.ndarray) -> np.nd
 
 def _log_total(logits: np.ndarray) -> np.ndarray:
     top = logits.max(axis=1)
-    return top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
+    logits -= top[:, None]
+    return top + np.log(_row_sums(np.exp(logits, out=logits)))
 
 
 def _log_small(logits: np.ndarray) -> np.ndarray:
-    return np.log(np.exp(logits, out=logits).sum(axis=1))
+    return np.log(_row_sums(np.exp(logits, out=logits)))
 
 
 def train(pieces: DataFrame, own: int, total: int) -> np.ndarray:
@@ -417,7 +451,7 @@ def scored(pieces: DataFrame, own: int, flat: np.ndarray) -> DataFrame:
 
 def fitted(docs: DataFrame) -> tuple[DataFrame, Vocabulary, np.ndarray]:
     """(pieces, vocabulary, weights) from all rows of docs (doc_id, text)."""
-    total = docs.agg(F.sum(n_words(F.coalesce("text", F.lit(""))))).first()[0] or 0
+    total = word_total(docs)
     known = vocabulary(word_counts(docs), total)
     pieces = settled(numbered(docs, known).repartition(trainers(total)))
     return pieces, known, train(pieces, len(known.own), total)
