@@ -28,11 +28,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covenant.llm.common import components, fresh, settled
+from covenant.llm.common import broadcast_up_to, components, fresh, settled
 
 RADIUS = 3
 SIX = 6
 SEED = 42
+#: Up to so many rows that go are broadcast to the texts; beyond, the texts are shuffled.
+MOST_BROADCAST = 100_000
 _CHUNK = 1 << 16
 
 _draw = random.Random(2024)
@@ -171,5 +173,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     gone = near_duplicates(told).where("doc_id <> component_id").select("doc_id").distinct()
     id_name, mark = fresh(docs.columns, "id", "mark")
     gone = gone.select(F.col("doc_id.id").alias(id_name), F.col("doc_id.mark").alias(mark))
+    gone = broadcast_up_to(settled(gone), MOST_BROADCAST)
     same = F.col(id_col).eqNullSafe(F.col(id_name)) & (F.xxhash64(F.col(text_col)) == F.col(mark))
     return docs.join(gone, same, "left_anti")
