@@ -89,15 +89,12 @@ def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     shingles = items.select("item", "size", "n_shingles", gram, F.explode(F.array_distinct("hashes")).alias("hash"))
     distinct = broadcast_up_to(settled(shingles.select("gram", "hash").distinct()), MOST_BROADCAST)
     grams = sorted(r["gram"] for r in distinct.select("gram").distinct().collect()) or [SHINGLE]  # five values at most
-    parted = [docs.select("doc", F.lit(n).alias("gram"), F.posexplode(_hashes(F.col("words"), n)).alias("at", "hash")) for n in grams]
+    whole = F.size("words").alias("n")
+    parted = [docs.select("doc", whole, F.lit(n).alias("gram"), F.posexplode(_hashes(F.col("words"), n)).alias("at", "hash")) for n in grams]
     hits = settled(reduce(DataFrame.unionAll, parted).join(distinct, ["gram", "hash"], "left_semi"))
     # One list of anchors for each document and item. Its length is bounded by the document's.
     of_item = hits.join(broadcast_up_to(settled(shingles), MOST_BROADCAST), ["gram", "hash"])
-    anchors = of_item.groupBy("doc", "size", "n_shingles", "item").agg(F.array_sort(F.collect_set("at")).alias("at"))
-    held = docs.withColumn("n", F.size("words"))
-    wanted = broadcast_up_to(settled(anchors.select("doc").distinct()), MOST_BROADCAST)
-    texts = held.join(wanted, "doc", "left_semi").dropDuplicates(["doc"])
-    both = texts.join(anchors, "doc")
+    anchors = of_item.groupBy("doc", "n", "size", "n_shingles", "item").agg(F.array_sort(F.collect_set("at")).alias("at"))
     own = F.least(F.col("size"), F.col("n"))
     length = F.greatest(own - SHINGLE + 1, F.lit(1))  # shingles of a window
     need = _needed(length, F.col("n_shingles"))
@@ -105,7 +102,11 @@ def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.transform("at", lambda a, i: F.when(F.get("at", i + need - 1) < a + length, a)), lambda a: a.isNotNull()
     )
     starts = F.array_distinct(F.transform(full, lambda a: F.greatest(F.least(a, F.col("n") - own), F.lit(0))))
-    laid = both.select("doc", "size", "words", own.alias("own"), F.explode(starts).alias("start"))
+    # Words join only where enough anchors stand together, and once for all items of a size.
+    laid = settled(anchors.select("doc", "size", own.alias("own"), F.explode(starts).alias("start")).distinct())
+    wanted = broadcast_up_to(settled(laid.select("doc").distinct()), MOST_BROADCAST)
+    texts = docs.join(wanted, "doc", "left_semi").dropDuplicates(["doc"])
+    laid = texts.join(laid, "doc")
     window = F.array_join(F.slice("words", F.col("start") + 1, F.col("own")), " ")
     return laid.select("doc", "start", "size", window.alias("window"))
 
@@ -182,5 +183,6 @@ def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_i
     id_name, mark = fresh(docs.columns, "id", "mark")
     found = _matches(docs, items, id_col, text_col).select("doc").distinct()
     found = found.select(F.col("doc.id").alias(id_name), F.col("doc.text").alias(mark))
+    found = broadcast_up_to(settled(found), MOST_BROADCAST)
     same = F.col(id_col).eqNullSafe(F.col(id_name)) & (F.xxhash64(F.col(text_col)) == F.col(mark))
     return docs.join(found, same, "left_anti")
