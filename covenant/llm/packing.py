@@ -1,7 +1,8 @@
 """Packing of tokenised documents into sequences: first-fit decreasing over a tournament tree of bin capacities.
 
-A document's ids are cut into pieces of CAPACITY and a rest. Pieces are dealt to groups at random, by a hash of document
-and place, so that a group comes from about GROUP_BYTES whatever the documents are; each group is packed alone. Within it
+A document's ids are cut into pieces of CAPACITY and a rest. Pieces are dealt to groups at random, by a hash of document,
+place and number of the row, so that a group comes from about GROUP_BYTES whatever the documents are, also where very
+many rows have one id or none; each group is packed alone. Within it
 pieces go, longest first, into the first bin with room, which a binary tournament over the bins' free room finds in
 log2(bins) steps. Only lengths are shuffled unless the ids are asked for.
 
@@ -125,7 +126,8 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 def packed(cut: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
     """cut with sequence_id and offset. cut: a frame with doc_id, start and length, and columns to carry along.
 
-    Within a sequence the pieces lie one after another from 0. An empty table stays empty.
+    Within a sequence the pieces lie one after another from 0. An empty table stays empty. cut comes from tables that
+    give the same rows in the same order when they are read again, as files do: rows are dealt by their numbers too.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema)
 
@@ -135,7 +137,7 @@ def packed(cut: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
         bins, offsets = first_fit_decreasing(part["length"].to_numpy(np.int64), capacity)
         return part.drop(columns="__group").assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
 
-    dealt = cut.withColumn("__group", F.pmod(F.xxhash64("doc_id", "start", F.lit("packing")), F.lit(groups)))
+    dealt = cut.withColumn("__group", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("__group").applyInPandas(each, f"{schema}, sequence_id long, offset long")
 
 

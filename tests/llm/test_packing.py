@@ -2,13 +2,14 @@ from __future__ import annotations
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from covenant.llm.packing import Remembered, first_fit_decreasing, pack_documents, vocabulary
+from covenant.llm.packing import Remembered, first_fit_decreasing, pack_documents, packed, vocabulary
 from tests.llm.cases import ODD, odd
 
 
@@ -72,6 +73,15 @@ def test_whole_table(spark, tokenizer):
     assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] for r in rows)
 
 
+def test_rows_of_one_id_are_dealt_to_all_groups(spark):
+    """Null ids and one text on half the rows: no group takes them all."""
+    same = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("start"))
+    cut = same.unionByName(spark.range(2000).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("start")))
+    rows = packed(cut.withColumn("length", F.lit(100).cast("long")), 8).collect()
+    mine = Counter(r["sequence_id"] >> 32 for r in rows if r["doc_id"] is None)
+    assert len(rows) == 4000 and len(mine) == 8 and max(mine.values()) < 400
+
+
 def test_odd_rows(spark, tokenizer):
     docs = odd(spark)
     check(pack_documents(docs, vocabulary()).collect(), [(d, t) for d, t, _ in ODD], tokenizer)
