@@ -6,8 +6,9 @@ headings, inputs). Trees trained on a table of labelled pages (html_pages.py, TR
 node the log-odds of holding main text. Decoding then takes the likeliest consistent choice for the whole page: a node
 may be kept only if its parent is. Blocks that are kept are joined in page order.
 
-What never is text (scripts, styles, the title, form controls, embedded media) is left out when the page is read. Other
-opaque elements than raw text are only left out up to their own end tag; without one, what follows is read.
+What never is text (scripts, styles, the title, form controls, drawings, frames) is left out when the page is read. Other
+opaque elements than raw text are only left out up to their own end tag; without one, what follows is read. Formulas and
+what media elements hold for readers without them are text like any other.
 Pages are independent rows: nothing is shuffled, and memory per task is one Arrow batch.
 """
 
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 
 from covenant.llm.boosting import Trees, fit
 
-_ATTRIBUTES = r"""(?>(?:[^"'>]++|"[^"]*"|'[^']*')*+)"""
-_OPAQUE = "script|style|title|textarea|noscript|template|svg|math|iframe|object|canvas|audio|video|select|button"
+#: Names with or without a value, as browsers read them: a quote opens a value only right after the equals sign, and only
+#: if there is a second one.
+_ATTRIBUTES = r"""(?>(?:[\s/]++|=?+[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+|=)*+)"""
+_OPAQUE = "script|style|title|textarea|template|svg|iframe|select|button"
 #: Comments, declarations, elements whose content is no text, and tags.
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
@@ -105,7 +108,7 @@ def _ends(html: str) -> dict[int, int]:
             if token["close"]:
                 if stack:
                     ends[stack.pop()] = token.end()
-            elif not (tag.lower() in ("svg", "math") and token["attributes"].endswith("/")):
+            elif not (tag.lower() == "svg" and token["attributes"].endswith("/")):
                 stack.append(token.end())
     return ends
 

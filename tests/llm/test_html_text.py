@@ -49,6 +49,11 @@ def test_whole_table(spark):
         ("</div></p>text < 3 and <unknown>more</unknown>", ["text < 3 and more"]),
         ("<div title='a > b' class=\"x>y\">t</div><textarea>no</textarea><script>open", ["t"]),
         ("<p", ["<p"]),
+        ("<p title=it's>Hello</p><p>don't</p>", ["Hello", "don't"]),
+        ('<p class="x>Broken</p><p>next', ["Broken", "next"]),
+        ('<p "odd" = ==b a="c > d" / e>x', ["x"]),
+        ("<p>so <math><mi>x</mi>=2</math> holds</p><canvas>a chart</canvas>", ["so x=2 holds", "a chart"]),
+        ("<video src=a.mp4>told in words</video><noscript><p>plain</p></noscript>", ["told in words", "plain"]),
         ("", []),
     ],
 )
