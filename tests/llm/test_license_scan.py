@@ -92,3 +92,16 @@ def test_odd_rows(spark):
     rows = scan_licenses(docs).collect()
     assert sorted(map(repr, (tuple(r)[1:] for r in rows))) == sorted(repr(plain(t)) for _, t, _ in ODD)
     assert scan_licenses(docs.limit(0)).count() == 0
+
+
+def test_texts_without_the_license_s_name(spark):
+    texts = {
+        "zlib": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+        "agpl-3.0": "your modified version must prominently offer all users interacting with it remotely through a computer network an opportunity",
+        "ncsa": "to deal with the Software without restriction, including without limitation the rights to use",
+        "cc-by-nc-sa-4.0": "see https://creativecommons.org/licenses/by-nc-sa/4.0/ for more",
+        "json": "The Software shall be used for Good, not Evil.",
+        "": "we may use the software for good and shall give credit to the authors of the document, without restriction",
+    }
+    found = scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id string, text string")).collect()
+    assert {r["doc_id"]: r["labels"] for r in found} == {label: label for label in texts}
