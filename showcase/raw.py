@@ -26,7 +26,7 @@ RAW_ORDERS = {
         ELSE 'T' || CAST(o_orderkey AS STRING) END""",
     "cust_txt": """CASE WHEN o_orderkey % 89 = 3 THEN 'unknown'
         ELSE CAST(o_custkey AS STRING) END""",
-    "amount_txt": f"""CASE WHEN o_orderkey % 53 = 0 THEN 'INVALIDO'
+    "amount_txt": f"""CASE WHEN o_orderkey % 53 = 0 THEN 'to follow'
         WHEN o_orderkey % 82 = 0 THEN ' +' || CAST({_CENTS} AS STRING) || 'E-2 '
         WHEN o_orderkey % 41 = 0 THEN CAST({_CENTS} AS STRING) || 'e-2'
         WHEN o_orderkey % 5 = 0 THEN {_UNITS} || '.' || {_FRACTION}

@@ -46,7 +46,7 @@ def test_clean_numeric_vectors(spark):
 
 
 def test_clean_numeric_from_other_types(spark):
-    assert apply(spark, [850.0, None], lambda c: clean_numeric(c, T.DoubleType()), T.DoubleType()) == [850.0, None]
+    assert apply(spark, [-12.5, 0.0, None], lambda c: clean_numeric(c, T.DoubleType()), T.DoubleType()) == [-12.5, 0.0, None]
     assert apply(spark, [7], lambda c: clean_numeric(c, T.LongType()), T.LongType()) == [7.0]
     assert apply(spark, [True, False], lambda c: clean_numeric(c, T.BooleanType()), T.BooleanType()) == [None, None]
 
@@ -89,8 +89,8 @@ def test_score_vectors(spark):
 
 
 def test_score_from_other_types(spark):
-    got = apply(spark, [0.15, 1.5, -2.0, None, math.nan], lambda c: normalize_score(c, {}, T.DoubleType()), T.DoubleType())
-    assert got == [0.15, 1.0, 0.0, None, 1.0]
+    got = apply(spark, [0.0, 0.625, 1.0001, math.inf, -7.25, None, math.nan], lambda c: normalize_score(c, {}, T.DoubleType()), T.DoubleType())
+    assert got == [0.0, 0.625, 1.0, 1.0, 0.0, None, 1.0]
     assert apply(spark, [True], lambda c: normalize_score(c, {}, T.BooleanType()), T.BooleanType()) == [None]
     assert apply(spark, ["x"], lambda c: normalize_score(c, {})) == [None]
 
